@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumflow.llm import encoding, packing, splitting
+from vellumflow.llm import encoding, frequency, packing, splitting
 from vellumflow.plans.tables import drop_repeats, read_table
 
 QUERIES = {}
@@ -15,6 +15,28 @@ def query(f):
     return f
 
 
+@query
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Terms of the evidence that are too rare or too common to be useful."""
+    return frequency.evidence_terms(_listed(spark, directory)).where("mark <> 'useful'").select("field_name", "term", "mark")
+
+
+@query
+def p2_terms(spark: SparkSession, directory: str) -> DataFrame:
+    """Every distinct term with its occurrences, its number of evidence rows and what name_records say of it."""
+    return frequency.checked_terms(_listed(spark, directory), read_table(spark, directory, "name_records", ["name_id", "name_string", "mentions"]))
+
+
+@query
+def p2_ngrams(spark: SparkSession, directory: str) -> DataFrame:
+    """Every n-gram of up to three words with its occurrences and its number of evidence rows."""
+    return frequency.evidence_ngrams(_listed(spark, directory))
+
+
+def _listed(spark: SparkSession, directory: str) -> DataFrame:
+    return read_table(spark, directory, "analysis_evidence", ["evidence_id", "people", "places"])
+
+
 @query
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     """Upload candidates above the size limit."""
@@ -51,7 +73,23 @@ def _documents(spark: SparkSession, directory: str) -> DataFrame:
     return read_table(spark, directory, "documents", ["doc_id", "text"])
 
 
+# Space characters beyond ASCII, as both engines are to see them.
+_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_TERMS = f"""
+WITH e AS (SELECT evidence_id, any_value(people) AS people, any_value(places) AS places FROM analysis_evidence WHERE evidence_id IS NOT NULL GROUP BY evidence_id),
+x AS (SELECT evidence_id, 'people' AS field_name, unnest(people) AS v FROM e UNION ALL SELECT evidence_id, 'places', unnest(places) FROM e),
+t AS (SELECT evidence_id, field_name, trim(regexp_replace(lower(nfc_normalize(v)), '{_SPACE}', ' ', 'g')) AS term FROM x WHERE v IS NOT NULL),
+f AS (SELECT field_name, term, count(*) AS occurrences, count(DISTINCT evidence_id) AS n_records FROM t WHERE term <> '' GROUP BY ALL),
+m AS (SELECT *, CASE WHEN n_records = 1 THEN 'rare' WHEN n_records * 100 > (SELECT count(*) FROM e) THEN 'common' ELSE 'useful' END AS mark FROM f)
+"""
+
 ORACLES = {
+    "p2_found": _TERMS + "SELECT field_name, term, mark FROM m WHERE mark <> 'useful'",
+    "p2_terms": _TERMS
+    + f""", n AS (SELECT name_id, any_value(name_string) AS s, any_value(mentions) AS k FROM name_records WHERE name_id IS NOT NULL GROUP BY name_id),
+r AS (SELECT 'people' AS field_name, trim(regexp_replace(lower(nfc_normalize(s)), '{_SPACE}', ' ', 'g')) AS term, CAST(sum(coalesce(k, 0)) AS BIGINT) AS recorded_mentions FROM n GROUP BY ALL)
+SELECT m.*, r.recorded_mentions FROM m LEFT JOIN r USING (field_name, term)
+""",
     "p4_found": """
 WITH c AS (SELECT DISTINCT candidate_sha256, document_sha256, start_page, end_page, size_bytes FROM upload_candidates),
 p AS (SELECT document_sha256, page_no, max(page_bytes) AS page_bytes FROM document_pages GROUP BY ALL),
