@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumflow.llm import encoding, frequency, packing, splitting
+from vellumflow.llm import encoding, frequency, linking, packing, splitting
 from vellumflow.plans.tables import drop_repeats, read_table
 
 QUERIES = {}
@@ -37,6 +37,22 @@ def _listed(spark: SparkSession, directory: str) -> DataFrame:
     return read_table(spark, directory, "analysis_evidence", ["evidence_id", "people", "places"])
 
 
+@query
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Pairs of name strings that mean the same, in the runs without known clusters."""
+    return linking.variant_pairs(_names(spark, directory), read_table(spark, directory, "name_clusters", ["run_id"]))
+
+
+@query
+def p3_clusters(spark: SparkSession, directory: str) -> DataFrame:
+    """Every name string that names somebody, of all runs, with its cluster."""
+    return linking.link_names(_names(spark, directory))
+
+
+def _names(spark: SparkSession, directory: str) -> DataFrame:
+    return read_table(spark, directory, "name_records", ["run_id", "name_id", "name_string", "mentions"])
+
+
 @query
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     """Upload candidates above the size limit."""
