@@ -191,6 +191,8 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [parse(s) if isinstance(s, str) else Name("nobody") for s in pdf["name_string"]]
         keep = np.array([n.kind != "nobody" and bool(n.surname or n.words) for n in names], dtype=bool)
         named = [n for n, k in zip(names, keep) if k]
+        if not named:
+            continue
         yield pd.DataFrame({"run_id": pdf["run_id"][keep], "name_id": pdf["name_id"][keep], "mentions": pdf["mentions"][keep], "node": [node_key(n) for n in named], "block": [blocks_of(n) for n in named], "letters": [_letters(n) for n in named]})
 
 
@@ -240,7 +242,8 @@ def _verified_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(out) > 20_000:
             yield pd.DataFrame(out, columns=["run_id", "block", "weight", "other", "other_weight"])
             out = []
-    yield pd.DataFrame(out, columns=["run_id", "block", "weight", "other", "other_weight"])
+    if out:
+        yield pd.DataFrame(out, columns=["run_id", "block", "weight", "other", "other_weight"])
 
 
 def _blocks_alike(a: str, b: str) -> bool:
@@ -277,7 +280,8 @@ def _clustered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(out) > 20_000:
             yield pd.DataFrame(out, columns=["run_id", "node", "cluster"])
             out = []
-    yield pd.DataFrame(out, columns=["run_id", "node", "cluster"])
+    if out:
+        yield pd.DataFrame(out, columns=["run_id", "node", "cluster"])
 
 
 def link_names(names: DataFrame) -> DataFrame:
