@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumflow.llm import encoding, frequency, linking, packing, splitting
+from vellumflow.llm import encoding, frequency, linking, packing, representative, splitting
 from vellumflow.plans.tables import drop_repeats, read_table
 
 QUERIES = {}
@@ -15,6 +15,27 @@ def query(f):
     return f
 
 
+@query
+def p1_found(spark: SparkSession, directory: str) -> DataFrame:
+    """The best member of each group of names known to be one entity."""
+    return representative.surviving_names(*_clusters(spark, directory)).select("cluster_id", "name_id")
+
+
+@query
+def p1_survivors(spark: SparkSession, directory: str) -> DataFrame:
+    """The surviving record of each group, with every value of its fields judged true."""
+    return representative.surviving_names(*_clusters(spark, directory))
+
+
+def _clusters(spark: SparkSession, directory: str) -> tuple[DataFrame, ...]:
+    return (
+        read_table(spark, directory, "name_clusters", ["cluster_id", "run_id", "member_name_ids", "member_names"]),
+        read_table(spark, directory, "name_records", ["name_id", "name_string", "mentions"]),
+        read_table(spark, directory, "analysis_evidence", ["evidence_id", "analysis_id", "people"]),
+        read_table(spark, directory, "document_analyses", ["analysis_id", "run_id"]),
+    )
+
+
 @query
 def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     """Terms of the evidence that are too rare or too common to be useful."""
