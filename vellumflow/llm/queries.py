@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumflow.llm import encoding, frequency, linking, packing, representative, splitting
+from vellumflow.llm import encoding, frequency, linking, packing, personal, representative, splitting
 from vellumflow.plans.tables import drop_repeats, read_table
 
 QUERIES = {}
@@ -106,6 +106,18 @@ def p8_containers(spark: SparkSession, directory: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, directory))
 
 
+@query
+def p9_found(spark: SparkSession, directory: str) -> DataFrame:
+    """First character of every item of personal information."""
+    return personal.find_personal(_documents(spark, directory))
+
+
+@query
+def p9_redacted(spark: SparkSession, directory: str) -> DataFrame:
+    """Every text with personal information replaced by typed placeholders."""
+    return personal.redact_personal(_documents(spark, directory))
+
+
 def _documents(spark: SparkSession, directory: str) -> DataFrame:
     return read_table(spark, directory, "documents", ["doc_id", "text"])
 
