@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -22,3 +26,20 @@ def build_session(app_name: str = "vellumflow", master: str | None = None, shuff
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of ``spark``, once a context, so that they need no installation of it.
+
+    The archive is built on the driver and handed to Spark's own file server; executors fetch it from there.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_vellumflow_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="vellumflow-code-")) / "vellumflow_code.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, str(Path("vellumflow") / path.relative_to(package)))
+    context.addPyFile(str(target))
+    context._vellumflow_shipped = True
