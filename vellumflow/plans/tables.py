@@ -63,3 +63,12 @@ def join_small(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
     if len(rows) > broadcast_rows:
         return left.join(right, list(on), how)
     return left.join(F.broadcast(left.sparkSession.createDataFrame(rows, right.schema)), list(on), how)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for stages whose work a row is heavy.
+
+    A small file is often one partition; its few rows are then dealt out. Inputs with enough partitions are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
