@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vellumflow.llm import encoding, frequency, linking, packing, personal, representative, splitting
-from vellumflow.plans.tables import drop_repeats, read_table
+from vellumflow.plans.tables import drop_repeats, read_table, spread
 
 QUERIES = {}
 
@@ -97,7 +97,7 @@ def _candidates(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFra
 @query
 def p7_ids(spark: SparkSession, directory: str) -> DataFrame:
     """Every text as its list of byte_bpe_50k ids."""
-    return drop_repeats(_documents(spark, directory), ["doc_id"]).select("doc_id", encoding.token_ids("text").alias("ids"))
+    return spread(drop_repeats(_documents(spark, directory), ["doc_id"])).select("doc_id", encoding.token_ids("text").alias("ids"))
 
 
 @query
