@@ -15,9 +15,10 @@ USAGE = ("prompt_tokens", "candidate_tokens", "total_cost_usd")
 def priced_models(usage: DataFrame, prices: DataFrame, model: str = "model_name") -> DataFrame:
     """(model, alias, input_price, output_price) of each model: the price of its own name, else of the first alias in order
     that its name begins with. ``prices``: alias, input_price, output_price. Models without a price are left out."""
-    models = usage.where(F.col(model).isNotNull()).select(F.col(model)).distinct()
-    fits = F.col(model).startswith(F.col("alias"))
-    found = models.join(F.broadcast(prices), fits)
+    models = usage.where(F.length(model) > 0).select(F.col(model)).distinct()
+    # Every beginning of a name is looked up as it stands: an equality join, however many prices there are.
+    beginnings = models.select(model, F.explode(F.transform(F.sequence(F.lit(1), F.length(model)), lambda i: F.substring(F.col(model), F.lit(1), i))).alias("alias"))
+    found = beginnings.join(prices.dropDuplicates(["alias"]), "alias")
     return found.groupBy(model).agg(F.min_by(F.struct("alias", "input_price", "output_price"), F.struct(F.col("alias") != F.col(model), F.col("alias"))).alias("p")).select(model, "p.*")
 
 
