@@ -9,7 +9,8 @@ from vellumflow import cli
 from vellumflow.operators.state import TableStore
 from vellumflow.plans.project import run_project
 from vellumflow.sinks import files, html, xlsx
-from vellumflow.sources import archive, extract, pdf, pricing
+from vellumflow.operators import uploads
+from vellumflow.sources import archive, extract, pdf, pricing, validation
 from vellumflow.sources.config import ProjectConfig
 from vellumflow.streaming.incremental import stream_into
 
@@ -161,6 +162,10 @@ def test_project_end_to_end(spark, tmp_path):
     page = (tmp_path / "out/report.html").read_text()
     assert "Anna B. Karlholt" in page and "May 1921" in page and "no answer" in page and "preparation_failed" in page
     assert [p.name for p in (tmp_path / "out/pdfs").iterdir()] == ["copy.pdf"] or [p.name for p in (tmp_path / "out/pdfs").iterdir()] == ["bridge.pdf"]
+    book = zipfile.ZipFile(tmp_path / "out/report.xlsx")
+    sheets = [book.read(f"xl/worksheets/sheet{i}.xml").decode() for i in (1, 2, 3)]
+    assert [s.split("</row>")[0].count("<c ") for s in sheets] == [14, 12, 6]
+    assert "Page 2" in sheets[0] and "Anna B. Karlholt" in sheets[0] and sheets[2].count("<row") == 3
     again = run_project(spark, config, now="2024-01-02T00:00:00")
     assert (again["queued_documents"], again["failed_documents"]) == (2, 1)
     lost = run_project(spark, config, offline=True, force=True, now="2024-01-03T00:00:00")
@@ -183,6 +188,42 @@ def test_files_as_rows(spark):
     assert got["a"] == (["not_pdfa"], 1, None) and got["b"][2] == "no PDF header"
 
 
+def test_uploads(spark):
+    c = spark.createDataFrame([("a", "d", 5, "original"), ("a", "d", 5, "original"), ("b", "d", 7, "original"), ("c", "e", 1, "qpdf")], "candidate_sha256 string, document_sha256 string, size_bytes long, compression_method string")
+    none = spark.createDataFrame([], "candidate_sha256 string, remote_name string, uploaded_at string, validated_at string, expires_at string")
+    sent = spark.createDataFrame([("a", "r1"), ("b", None)], "candidate_sha256 string, remote_name string")
+    cache = uploads.record_uploads(none, sent, "2024-01-01T00:00:00")
+    got = {r.candidate_sha256: r.expires_at for r in cache.collect()}
+    assert got == {"a": "2024-01-02T23:00:00.000000+00:00", "b": None}
+    assert sorted(r.candidate_sha256 for r in uploads.to_upload(c, cache, "2024-01-02T00:00:00").collect()) == ["b", "c"]
+    assert sorted(r.candidate_sha256 for r in uploads.to_upload(c, cache, "2024-01-03T00:00:00").collect()) == ["a", "b", "c"]
+    kept = uploads.record_uploads(cache, spark.createDataFrame([("a", None)], sent.schema), "2024-02-01T00:00:00").where("candidate_sha256 = 'a'").first()
+    assert kept.expires_at == "2024-01-02T23:00:00.000000+00:00"
+    log = uploads.call_log(spark.createDataFrame([("d", None, 1.0), ("e", "x", 2.0)], "document_sha256 string, error_text string, duration_ms double"), 3, "upload", "now")
+    assert uploads.uploads_of_run(log, 3).first().uploads == 1 and uploads.uploads_of_run(log, 4).first().uploads == 0
+    assert {r.document_sha256: (r.analysed_bytes, r.method) for r in uploads.analysed_size(c.distinct()).collect()} == {"d": (12, "chunk"), "e": (1, "qpdf")}
+
+
+VERDICTS = [
+    ({"report": {"jobs": [{"validationResult": [{"compliant": True}]}]}}, True),
+    ({"report": {"jobs": [{"validationResult": [{"compliant": True}, {}]}]}}, False),
+    ({"report": {"jobs": []}}, False),
+    ({"validationReports": [{"isCompliant": True}]}, True),
+    ({"validationReports": []}, False),
+    ({"validationReports": [{"isCompliant": True}, None]}, False),
+    ({"jobs": [{"validationReport": {"isCompliant": True}}]}, True),
+    ({"jobs": [{}]}, False),
+    ([], False),
+]
+
+
+@pytest.mark.parametrize("payload,want", VERDICTS)
+def test_validator_layouts(payload, want):
+    ok, why = validation.verdict(json.dumps(payload))
+    assert ok is want and (why is None) is want
+    assert validation.validate("x.pdf", None)[0] is False and validation.verdict("nonsense")[0] is False
+
+
 def test_stream_upserts(spark, tmp_path):
     schema = "id long, t long, v string"
     spark.createDataFrame([(1, 1, "a"), (2, 5, "b")], schema).write.json(str(tmp_path / "in"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumflow.functions import text
+from vellumflow.functions import dates, text
 from vellumflow.operators import ordering, reports
 from vellumflow.operators.state import TableStore, replace_children
 from vellumflow.sinks import files, html, xlsx
@@ -135,9 +135,26 @@ def _report(spark: SparkSession, store: TableStore, config: ProjectConfig, query
     summary = [{"figure": k.replace("_", " "), "value": v} for k, v in figures.items()]
     index_rows = [{"document": x["canonical_filename"], "evidence": x["evidence_count"]} for x in docs]
     html.write_report(output / config.report_html_filename, config.name, {"summary": summary, "answer": [answer], "index": index_rows, "people": people, "timeline": timeline, "documents": docs, "errors": failures})
-    sheet = lambda rows: ([c for c in rows[0] if not c.startswith("_")], [[r[c] for c in r if not c.startswith("_")] for r in rows]) if rows else (["nothing"], [])
-    xlsx.write_workbook(output / (Path(config.report_html_filename).stem + ".xlsx"), {"Evidence": sheet(timeline), "Documents": sheet(docs), "Failures": sheet(failures)})
+    _workbook(output / (Path(config.report_html_filename).stem + ".xlsx"), found, documents, keyed.join(counts, "analysis_key", "left"), store.read("document_paths"))
     paths = store.read("document_paths")
     copied = ordering.preferred_path(paths.join(joined.where(reports.is_responsive()).select("sha256"), "sha256", "left_semi"), "sha256", "absolute_path")
     files.copy_documents([r["absolute_path"] for r in copied.orderBy("absolute_path").limit(REPORT_ROWS).collect()], output / "pdfs")
     return figures
+
+
+def _workbook(path: Path, evidence: DataFrame, documents: DataFrame, analyses: DataFrame, paths: DataFrame) -> None:
+    """Sheets Evidence, Documents and Failures."""
+    where = ordering.preferred_path(paths, "sha256", "absolute_path").withColumnRenamed("absolute_path", "source_path")
+    relative = ordering.preferred_path(paths, "sha256", "relative_path")
+    best = evidence.join(analyses.select("analysis_key", "relevance_score"), "analysis_key").join(where, F.col("document_sha256") == F.col("sha256"), "left").withColumn("_d", dates.best_date_label("dates", F.coalesce("summary", "document_summary")))
+    lists = lambda *names: [text.display_list(n).alias(n) for n in names]
+    rows = best.select(F.col("_d.date_label").alias("sort_date"), text.sort_year("dates", "summary").alias("sort_year"), "source_filename", "page_start", "page_end", text.page_label("page_start", "page_end").alias("page_label"), text.key_person("people").alias("key_person"), "summary", *lists("people", "places", "dates"), "document_summary", "relevance_score", "source_path", F.struct("_d.y", "_d.m", "_d.d", F.coalesce("page_start", F.lit(10**9)), F.lower("source_filename"), F.lower("summary"), "ordinal").alias("_order"))
+    shown = documents.join(relative, "sha256", "left").join(analyses.withColumnRenamed("document_sha256", "sha256").drop("source_filename"), "sha256", "left").join(where, "sha256", "left")
+    docs = shown.select(F.col("canonical_filename").alias("source_filename"), "relative_path", "status", "responsive", "relevance_score", "summary", *lists("people", "places", "dates"), F.coalesce("evidence_count", F.lit(0)).alias("evidence_count"), "failure_type", "error_text", F.struct("canonical_filename", "sha256").alias("_order"))
+    failed = shown.where("status = 'failed'").select(F.col("canonical_filename").alias("source_filename"), "status", "failure_type", "error_text", "source_path", "completed_at", F.struct("completed_at", "canonical_filename", "sha256").alias("_order"))
+
+    def sheet(df: DataFrame) -> tuple[list[str], list[tuple]]:
+        columns = [c for c in df.columns if c != "_order"]
+        return columns, [tuple(r) for r in df.orderBy("_order").limit(REPORT_ROWS).select(*columns).collect()]
+
+    xlsx.write_workbook(path, {"Evidence": sheet(rows), "Documents": sheet(docs), "Failures": sheet(failed)})
