@@ -285,11 +285,11 @@ def unique_slug_ids(spark, d):
     return k.select("name_id", F.when(F.col("_k") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("_"), (F.col("_k") - 1).cast("string"))).alias("toggle_id"))
 
 
-@query(f"WITH {_E} SELECT evidence_id, coalesce(list_filter(people, lambda x: x IS NOT NULL AND x <> ''), []) AS people, coalesce(array_to_string(list_filter(places, lambda x: x IS NOT NULL AND x <> ''), '; '), '') AS places FROM e")
+@query(f"WITH {_E} SELECT evidence_id, coalesce(array_to_string(list_filter(people, lambda x: x IS NOT NULL AND x <> ''), ' | '), '') AS people, coalesce(array_to_string(list_filter(places, lambda x: x IS NOT NULL AND x <> ''), '; '), '') AS places FROM e")
 def json_list_coerce(spark, d):
     """Lists read back from JSON text, and shown as one string."""
     rows = _evidence(spark, d, "people", "places").select("evidence_id", F.to_json("people").alias("p"), F.to_json("places").alias("q"))
-    return rows.select("evidence_id", text.coerce_json_list("p").alias("people"), text.display_list(text.coerce_json_list("q")).alias("places"))
+    return rows.select("evidence_id", F.array_join(text.coerce_json_list("p"), " | ").alias("people"), text.display_list(text.coerce_json_list("q")).alias("places"))
 
 
 @query(f"""
@@ -350,14 +350,15 @@ b AS (SELECT a.query_id, 0 AS k, e.evidence_id AS id, unnest(list_distinct({_TRI
 f AS (SELECT query_id, name_string, note, min((k, id)) AS first_at FROM b WHERE note <> '' GROUP BY ALL),
 g AS (SELECT query_id, name_string, list(note ORDER BY first_at, note)[1:5] AS context_notes FROM f GROUP BY ALL),
 c AS (SELECT query_id, name_string, CAST(count(*) FILTER (WHERE k = 0) AS INTEGER) AS mentions, list_sort(list(DISTINCT source_filename) FILTER (WHERE source_filename IS NOT NULL)) AS source_filenames FROM b GROUP BY ALL)
-SELECT query_id, name_string, mentions, source_filenames, coalesce(context_notes, []) AS context_notes FROM c LEFT JOIN g USING (query_id, name_string)
+SELECT query_id, name_string, mentions, coalesce(array_to_string(source_filenames, ' | '), '') AS source_filenames, coalesce(array_to_string(context_notes, ' | '), '') AS context_notes FROM c LEFT JOIN g USING (query_id, name_string)
 """)
 def name_string_records(spark, d):
     """Distinct names of each question with mentions, files and first notes."""
     report = _report(spark, d)
     dated = report.select("query_id", "evidence_id", "people", "source_filename", F.col("summary").alias("note"), F.lit(1).alias("y"), F.lit(1).alias("m"), F.lit(1).alias("d"), F.lit("x").alias("date_label"))
     responsive = _analyses(spark, d, "query_id", "people", "source_filename", "summary", "responsive").where("responsive").withColumnRenamed("summary", "note")
-    return reports.name_strings(dated, responsive, "query_id").drop("time_period")
+    lists = {k: F.array_join(k, " | ") for k in ("source_filenames", "context_notes")}
+    return reports.name_strings(dated, responsive, "query_id").drop("time_period").withColumns(lists)
 
 
 @query(r"""
@@ -440,11 +441,11 @@ x AS (SELECT analysis_id, run_id, {_TRIMMED.format('people')} AS l FROM a),
 y AS (SELECT analysis_id, run_id, unnest(l) AS name, unnest(range(len(l))) AS pos FROM x),
 z AS (SELECT y.analysis_id, coalesce(mp.canonical, y.name) AS person, min(pos) AS pos FROM y LEFT JOIN mp USING (run_id, name) GROUP BY ALL),
 g AS (SELECT analysis_id, list(person ORDER BY pos) AS people FROM z GROUP BY 1)
-SELECT a.analysis_id, coalesce(g.people, []) AS people FROM a LEFT JOIN g USING (analysis_id)
+SELECT a.analysis_id, coalesce(array_to_string(g.people, ' | '), '') AS people FROM a LEFT JOIN g USING (analysis_id)
 """)
 def canonicalize_people(spark, d):
     """People of every analysis by their cluster's name, first mentions in order."""
-    return reports.canonical_people(_analyses(spark, d, "run_id", "people"), _mapping(spark, d), "analysis_id", "run_id")
+    return reports.canonical_people(_analyses(spark, d, "run_id", "people"), _mapping(spark, d), "analysis_id", "run_id").withColumn("people", F.array_join("people", " | "))
 
 
 @query()
@@ -466,11 +467,11 @@ def responsive_document_index(spark, d):
 
 @query(f"""
 WITH {_A}, {_E}, i AS (SELECT analysis_id, list(summary ORDER BY ordinal NULLS FIRST, evidence_id) AS items FROM e GROUP BY 1)
-SELECT a.analysis_id, a.query_id, a.document_sha256, a.source_filename, coalesce(i.items, []) AS items FROM a LEFT JOIN i USING (analysis_id) WHERE a.status = 'succeeded' AND a.responsive
+SELECT a.analysis_id, a.query_id, a.document_sha256, a.source_filename, coalesce(array_to_string(i.items, ' | '), '') AS items FROM a LEFT JOIN i USING (analysis_id) WHERE a.status = 'succeeded' AND a.responsive
 """)
 def synthesis_input(spark, d):
     """Responsive analyses with their findings in order."""
-    return reports.synthesis_input(_analyses(spark, d, "query_id", "document_sha256", "source_filename", "status", "responsive"), _evidence(spark, d, "analysis_id", "ordinal", "summary"))
+    return reports.synthesis_input(_analyses(spark, d, "query_id", "document_sha256", "source_filename", "status", "responsive"), _evidence(spark, d, "analysis_id", "ordinal", "summary")).withColumn("items", F.array_join("items", " | "))
 
 
 @query(f"""
@@ -504,13 +505,13 @@ WITH p AS (SELECT document_sha256 AS document, page_no, any_value(page_bytes) AS
 o AS (SELECT document, CAST(page_no // 2 AS BIGINT) AS object_id, arg_min(bytes, page_no) AS bytes, count(*) AS uses, CAST(max(page_no * 3) AS DOUBLE) AS dpi FROM p GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY document ORDER BY dpi > 72 DESC, bytes DESC, dpi DESC, object_id DESC) AS k FROM o),
 t AS (SELECT document, list(object_id ORDER BY k) FILTER (WHERE k <= 10) AS top FROM r GROUP BY 1)
-SELECT document, count(*) AS images, CAST(sum(bytes) AS BIGINT) AS image_bytes, count(*) FILTER (WHERE dpi > 72) AS high_images, CAST(coalesce(sum(bytes) FILTER (WHERE dpi > 72), 0) AS BIGINT) AS high_bytes, max(dpi) AS max_dpi, any_value(top) AS top FROM o JOIN t USING (document) GROUP BY 1
+SELECT document, count(*) AS images, CAST(sum(bytes) AS BIGINT) AS image_bytes, count(*) FILTER (WHERE dpi > 72) AS high_images, CAST(coalesce(sum(bytes) FILTER (WHERE dpi > 72), 0) AS BIGINT) AS high_bytes, max(dpi) AS max_dpi, array_to_string(CAST(any_value(top) AS VARCHAR[]), ' | ') AS top FROM o JOIN t USING (document) GROUP BY 1
 """)
 def image_summary_topk(spark, d):
     """Image totals of each document and its ten largest; pairs of pages stand for image objects."""
     p = read_table(spark, d, "document_pages", ["document_sha256", "page_no", "page_bytes"]).dropDuplicates(["document_sha256", "page_no"])
     u = p.select(F.col("document_sha256").alias("document"), F.floor(F.col("page_no") / 2).cast("long").alias("object_id"), F.col("page_no").alias("pos"), F.col("page_bytes").alias("bytes"), (F.col("page_no") * 3).cast("double").alias("dpi"))
-    return ranges.image_summary(u).withColumn("top", F.transform("top", lambda x: x["object_id"]))
+    return ranges.image_summary(u).withColumn("top", F.array_join(F.transform("top", lambda x: x["object_id"].cast("string")), " | "))
 
 
 @query("""
