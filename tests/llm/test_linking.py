@@ -92,3 +92,20 @@ def test_parts_of_odd_strings():
     assert parse("AL Prydquist").middle == ("l",)
     assert parse("Mr. van Ylvottel").surname == "van ylvottel"
     assert one_slip("abcd", "abdc") and one_slip("abc", "abcd") and not one_slip("abcd", "badc")
+
+
+def test_a_misspelling_meets_every_neighbour(spark):
+    """A surname one slip from two: the one with fewer mentions may be the one that fits."""
+    strings = {1: ("Katherine A. Nymistroem", 3), 2: ("Katherine A. Nymiström", 1), 3: ("Katherine A. Nymsitröm", 1), 4: ("Bertram Oskoyd", 9), 5: ("Walter Osskoyb", 2), 6: ("Walter Osskoyd", 1)}
+    df = spark.createDataFrame([(581, i, s, n, "x", "x") for i, (s, n) in strings.items()], SCHEMA)
+    cluster = {r.name_id: r.cluster for r in link_names(df).collect()}
+    assert cluster[1] == cluster[2] == cluster[3]
+    assert cluster[5] == cluster[6] != cluster[4]
+
+
+def test_chains_over_slices_are_one_family(spark, monkeypatch):
+    words = ["karlholta", "karlholtb", "karholtb", "karhltb", "karhltbs", "karhlbs", "kurhlbs"]
+    df = spark.createDataFrame([(1, "p " + w, n) for w, n in zip(words, [9, 1, 8, 2, 7, 3, 6])] + [(1, "p zzyxwv", 1)], "run_id long, block string, weight long")
+    for size in (2_000, 1):
+        monkeypatch.setattr(linking, "SLICE_BLOCKS", size)
+        assert {(r.block, r.family) for r in block_families(df).collect()} == {("p " + w, "p karlholta") for w in words[1:]}

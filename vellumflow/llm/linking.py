@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
@@ -142,20 +143,22 @@ def organisation_similarity(a: str, b: str) -> float | None:
     return total / len(x)
 
 
-def star_clusters(nodes: list[tuple[str, int]], similarity: Callable[[int, int], float | None], rank: Callable[[int], tuple], absorb: Callable[[int, int], None] | None = None) -> list[int]:
+def star_clusters(nodes: list[tuple[str, int]], similarity: Callable[[int, int], float | None], rank: Callable[[int], tuple], absorb: Callable[[int, int], None] | None = None, near: Callable[[int], list] | None = None, key: Callable[[int], object] = lambda i: None) -> list[int]:
     """Star clustering: places of the centres, one for each node.
 
+    ``near`` gives the keys of all nodes that can be similar to a node at all; centres of other keys are not compared with it.
+
     Nodes are taken from the most complete to the least. A node similar to no centre becomes one; otherwise it joins the
     most similar. A node equally similar to several centres could be any of them and stays on its own without
     becoming a centre.
     """
     order = sorted(range(len(nodes)), key=rank)
-    centres: list[int] = []
+    centres: dict[object, list[tuple[int, int]]] = {}
     at = list(range(len(nodes)))
-    for i in order:
-        found = sorted(((s, -k, c) for k, c in enumerate(centres) if (s := similarity(c, i)) is not None and s >= VERIFIED), reverse=True)
+    for k, i in enumerate(order):
+        found = sorted(((s, -m, c) for x in (near(i) if near else [None]) for m, c in centres.get(x, ()) if (s := similarity(c, i)) is not None and s >= VERIFIED), reverse=True)
         if not found:
-            centres.append(i)
+            centres.setdefault(key(i), []).append((k, i))
         elif len(found) == 1 or found[0][0] > found[1][0] + 1e-9:
             at[i] = found[0][2]
             if absorb:
@@ -163,11 +166,39 @@ def star_clusters(nodes: list[tuple[str, int]], similarity: Callable[[int, int],
     return at
 
 
+def join_bridged(at: list[int], similarity: Callable[[int, int], float | None], agree: Callable[[int, int], bool], near: Callable[[int], list] | None = None, key: Callable[[int], object] = lambda i: None) -> list[int]:
+    """``at`` with clusters joined whose centres are spelt too differently, but one of which fits a member of the other.
+
+    A centre that fits members of several clusters joins none of them; ``agree`` tells whether two centres can be one at all.
+    """
+    members: dict[object, list[int]] = {}
+    for i in range(len(at)):
+        members.setdefault(key(i), []).append(i)
+    size = Counter(at)
+    top = {c: c for c in size}
+
+    def root(c: int) -> int:
+        while top[c] != c:
+            c = top[c]
+        return c
+
+    for c in sorted(top):
+        fits: set[int] = set()
+        for x in near(c) if near else [None]:
+            for m in members.get(x, ()):
+                if at[m] != c and at[m] not in fits and (s := similarity(m, c)) is not None and s >= VERIFIED:
+                    fits.add(at[m])
+        if len(fits) == 1 and agree(b := fits.pop(), c) and size[b] > 1:
+            low, high = sorted((root(b), root(c)), key=lambda x: (size[x], -x))
+            top[low] = high
+    return [root(c) for c in at]
+
+
 def _family(rows: list[tuple[str, int]]) -> list[str]:
     """Cluster of each (node key, mentions) of one family, named by the key of its centre."""
     if rows[0][0][0] != "p":
         similarity = lambda c, i: organisation_similarity(rows[c][0], rows[i][0])
-        return [rows[c][0] for c in star_clusters(rows, similarity, lambda i: (-rows[i][1], rows[i][0]))]
+        return [rows[c][0] for c in join_bridged(star_clusters(rows, similarity, lambda i: (-rows[i][1], rows[i][0])), similarity, lambda b, c: True)]
     parts = [_from_key(k) for k, _ in rows]
 
     def rank(i: int) -> tuple:
@@ -183,7 +214,17 @@ def _family(rows: list[tuple[str, int]]) -> list[str]:
             parts[c] = a | {"suffix": b["suffix"]}
 
     own = [dict(p) for p in parts]
-    return [rows[c][0] for c in star_clusters(rows, lambda c, i: person_similarity(parts[c], own[i]), rank, absorb)]
+    surnames = sorted({p["surname"] for p in parts})
+    near = {a: [b for b in surnames if _surname(b, a) is not None] for a in surnames}
+    by_surname = (lambda i: near[own[i]["surname"]], lambda i: own[i]["surname"])
+
+    def agree(b: int, c: int) -> bool:
+        """Only the surname keeps the two apart, and their first names are not one slip apart as well."""
+        first = _first_name(parts[b], parts[c])
+        return first is not None and first != 0.94 and person_similarity(parts[b], parts[c] | {"surname": parts[b]["surname"]}) is not None
+
+    at = star_clusters(rows, lambda c, i: person_similarity(parts[c], own[i]), rank, absorb, *by_surname)
+    return [rows[c][0] for c in join_bridged(at, lambda m, c: person_similarity(own[m], own[c]), agree, *by_surname)]
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -221,7 +262,7 @@ def _grouped(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[tuple[t
 
 
 def _verified_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links of similar blocks that share a band, from the one with fewer mentions to the one with more."""
+    """Similar blocks that share a band lead to each other: a link from every block of what hangs together to its weightiest."""
     out: list[tuple] = []
     for (run, slice_), group in _grouped(batches, ["run_id", "slice"]):
         if len(group) > 1:
@@ -234,11 +275,19 @@ def _verified_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for members in buckets.values():
                 if len(members) > 1:
                     tried.update((i, j) for n, i in enumerate(members) for j in members[n + 1 :])
+            top = list(range(len(group)))
+
+            def root(i: int) -> int:
+                while top[i] != i:
+                    top[i] = i = top[top[i]]
+                return i
+
             for i, j in tried:
                 a, b = group[i], group[j]
-                if a.block[0] == b.block[0] != "a" and _blocks_alike(a.block[2:], b.block[2:]):
-                    low, high = sorted((a, b), key=lambda r: (r.weight, r.block))
-                    out.append((run, low.block, low.weight, high.block, high.weight))
+                if a.block[0] == b.block[0] != "a" and (x := root(i)) != (y := root(j)) and _blocks_alike(a.block[2:], b.block[2:]):
+                    low, high = sorted((x, y), key=lambda i: (group[i].weight, group[i].block))
+                    top[low] = high
+            out += [(run, r.block, r.weight, group[x].block, group[x].weight) for i, r in enumerate(group) if (x := root(i)) != i]
         if len(out) > 20_000:
             yield pd.DataFrame(out, columns=["run_id", "block", "weight", "other", "other_weight"])
             out = []
@@ -254,22 +303,25 @@ def _blocks_alike(a: str, b: str) -> bool:
 
 
 def block_families(blocks: DataFrame) -> DataFrame:
-    """(run_id, block, family) of blocks that similar spellings lead to: each goes to its weightiest heavier neighbour, and on.
+    """(run_id, block, family) of blocks that similar spellings lead to: all that hang together by links are one family.
 
-    ``blocks``: run_id, block, weight, all different. Blocks without neighbour are left out.
+    ``blocks``: run_id, block, weight, all different. A family is named by its weightiest block, which is left out itself, as
+    are blocks without neighbour.
     """
     per_run = blocks.groupBy("run_id").agg(F.ceil(F.count(F.lit(1)) / SLICE_BLOCKS).cast("long").alias("slices"))
     sliced = blocks.join(per_run, "run_id").mapInPandas(_sliced, "run_id long, block string, weight long, slice long, slices long")
     sorted_ = sliced.repartition("run_id", "slice").sortWithinPartitions("run_id", "slice")
-    links = sorted_.mapInPandas(_verified_links, "run_id long, block string, weight long, other string, other_weight long")
-    best = links.groupBy("run_id", "block").agg(F.max_by("other", F.struct("other_weight", "other")).alias("family"))
-    best = cut_lineage(best)
-    while True:  # each pass doubles the way followed; weights rise along it, so there is no circle
-        up = best.select("run_id", F.col("block").alias("family"), F.col("family").alias("_next"))
-        moved = cut_lineage(best.join(up, ["run_id", "family"], "left").select("run_id", "block", F.coalesce("_next", "family").alias("family"), F.col("_next").isNotNull().alias("_moved")))
-        best = moved.drop("_moved")
-        if not moved.where("_moved").limit(1).count():
-            return best
+    found = sorted_.mapInPandas(_verified_links, "run_id long, block string, weight long, other string, other_weight long")
+    links = cut_lineage(found.select("run_id", F.struct("weight", "block").alias("low"), F.struct(F.col("other_weight").alias("weight"), F.col("other").alias("block")).alias("high")).distinct())
+    while True:  # every link leads upwards; a block of several slices may have several, whose ends are then linked in turn
+        top = links.groupBy("run_id", "low").agg(F.max("high").alias("top"), F.count(F.lit(1)).alias("_n"))
+        up = top.select("run_id", F.col("low").alias("high"), F.col("top").alias("_next"))
+        held = cut_lineage(links.join(top, ["run_id", "low"]).join(up, ["run_id", "high"], "left"))
+        if not held.where("_n > 1 or _next is not null").limit(1).count():
+            return links.select("run_id", "low.block", F.col("high.block").alias("family"))
+        own = held.select("run_id", "low", F.when(F.col("high") == F.col("top"), F.coalesce("_next", "high")).otherwise(F.col("top")).alias("high"))
+        aside = held.where("high <> top").select("run_id", F.col("high").alias("low"), F.col("top").alias("high"))
+        links = cut_lineage(own.unionByName(aside).distinct())
 
 
 def _clustered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -289,9 +341,9 @@ def link_names(names: DataFrame) -> DataFrame:
 
     ``names``: run_id, name_id, name_string, mentions. Strings are taken apart once; strings with equal parts are one node,
     so copies never meet. Padded q-gram MinHash bands over surnames (organisations: over all their words) find the spellings
-    that may be one, a slip of the pen verifies them, and they form families; runs too large for a task are spread over
-    slices by band. Within a family (whose size is the number of different part combinations, not of rows) the nodes are
-    star-clustered under Monge-Elkan similarity. Half-names of double surnames and acronyms are then given to the one
+    that may be one, a slip of the pen verifies them, and all that hang together form a family; runs too large for a task are
+    spread over slices by band. Within a family (whose size is the number of different part combinations, not of rows) the
+    nodes of all alike surnames are star-clustered under Monge-Elkan similarity. Half-names of double surnames and acronyms are then given to the one
     cluster they fit, and stay alone where they fit several.
 
     Rows with null run, id or string, blank strings and those that say the name is unknown are left out; repeats of a
