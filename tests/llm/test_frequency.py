@@ -66,3 +66,13 @@ def test_marks_mentions_and_empty(spark):
     assert evidence_terms(spark.createDataFrame([], SCHEMA)).collect() == []
     long = spark.createDataFrame([(1, ["w " * 50_000], None, "t", 1)], SCHEMA)
     assert [(r.occurrences, r.n_records, len(r.term)) for r in evidence_terms(long).collect()] == [(1, 1, 99_999)]
+
+
+def test_ngrams_of_every_length(spark, monkeypatch):
+    monkeypatch.setattr(frequency, "CHUNK_SYMBOLS", 50)
+    rnd = random.Random(9)
+    data = [(i, [" ".join(rnd.choice("ab") for _ in range(rnd.randint(1, 9))) for _ in range(2)], ["Keeper of the Ardenmoor Papers"], "t", 1) for i in range(60)]
+    grams = evidence_ngrams(spark.createDataFrame(data, SCHEMA)).collect()
+    assert {r.n_words for r in grams} == set(range(1, 10))
+    assert {(r.n_words, r.field_name, r.ngram): (r.occurrences, r.n_records) for r in grams} == {(n, *k): v for n in range(1, 10) for k, v in brute(data, n).items()}
+    assert [r.mark for r in grams if r.n_words == 5 and r.field_name == "places"] == ["common"]

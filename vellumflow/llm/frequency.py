@@ -106,6 +106,7 @@ class _Chunk:
         self.record = np.repeat(record_of, per)
         self.entry = np.repeat(entry_of, per)
         self.within, self.terms = within, terms
+        self.longest = int(per.max(initial=2)) - 2  # words
         self.suffixes = SuffixArray(self.symbols, self.remaining)
 
     def whole_terms(self) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -133,7 +134,7 @@ def _entries(batch: pa.RecordBatch, field: str, first_record: int) -> tuple[pa.A
     return values.filter(given), owners.filter(given).to_numpy(zero_copy_only=False).astype(np.int64) + first_record
 
 
-def _counted(batches: Iterator[pa.RecordBatch], fields: list[str], orders: list[int]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], fields: list[str], orders: list[int] | None) -> Iterator[pa.RecordBatch]:
     """Term (order 0) and n-gram counts of this task's records, a suffix array for each field and chunk."""
 
     def result(values: list[tuple[pa.Array, np.ndarray]], field: str) -> Iterator[pa.RecordBatch]:
@@ -145,7 +146,7 @@ def _counted(batches: Iterator[pa.RecordBatch], fields: list[str], orders: list[
         entry = to[code] if len(code) else np.zeros(0, np.int64)
         some = entry != ids.get("", -1)
         chunk = _Chunk(entry[some], record[some], list(ids))
-        for n in orders:
+        for n in range(1, chunk.longest + 1) if orders is None else orders:
             texts, occurrences, records = chunk.ngrams(n) if n else chunk.whole_terms()
             size = len(texts)
             yield pa.RecordBatch.from_arrays(
@@ -170,10 +171,10 @@ def _counted(batches: Iterator[pa.RecordBatch], fields: list[str], orders: list[
             yield from result(held[f], f)
 
 
-def term_frequencies(records: DataFrame, key: str, fields: list[str], orders: list[int] = [0]) -> DataFrame:  # noqa: B006
+def term_frequencies(records: DataFrame, key: str, fields: list[str], orders: list[int] | None = [0]) -> DataFrame:  # noqa: B006
     """(field_name, n_words, term, occurrences, n_records) of every term of the list columns ``fields``.
 
-    Order 0 stands for whole entries (n_words 0), n for the n-grams inside entries. Entries are compared in normal form;
+    Order 0 stands for whole entries (n_words 0), n for the n-grams inside entries; no ``orders`` are all n there are. Entries are compared in normal form;
     null, empty and blank entries are no terms; null and empty lists count nothing; repeats of a record (same ``key``) count
     once and rows without key not at all. Each task builds suffix arrays over chunks of whole records and sends on one row
     for each different term of a chunk, so a term that stands in a third of all records costs one row a chunk; as no record
@@ -218,7 +219,7 @@ def checked_terms(evidence: DataFrame, names: DataFrame) -> DataFrame:
     return evidence_terms(evidence).join(said, ["field_name", "term"], "left")
 
 
-def evidence_ngrams(evidence: DataFrame, most: int = 3) -> DataFrame:
-    """(field_name, n_words, ngram, occurrences, n_records, mark) of every n-gram of 1 to ``most`` words inside the entries."""
+def evidence_ngrams(evidence: DataFrame) -> DataFrame:
+    """(field_name, n_words, ngram, occurrences, n_records, mark) of every n-gram inside the entries, up to the longest entry's words."""
     total = evidence.agg(F.count_distinct("evidence_id")).first()[0]
-    return marked(term_frequencies(evidence, "evidence_id", ["people", "places"], list(range(1, most + 1))), total).withColumnRenamed("term", "ngram")
+    return marked(term_frequencies(evidence, "evidence_id", ["people", "places"], None), total).withColumnRenamed("term", "ngram")

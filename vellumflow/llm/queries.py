@@ -50,7 +50,7 @@ def p2_terms(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def p2_ngrams(spark: SparkSession, directory: str) -> DataFrame:
-    """Every n-gram of up to three words with its occurrences and its number of evidence rows."""
+    """Every n-gram, of as many words as the entries have, with its occurrences and its number of evidence rows."""
     return frequency.evidence_ngrams(_listed(spark, directory))
 
 
