@@ -233,3 +233,27 @@ def test_stream_upserts(spark, tmp_path):
     spark.createDataFrame([(1, 3, "c"), (2, 4, "late"), (1, 3, "c")], schema).write.mode("append").json(str(tmp_path / "in"))
     run()
     assert sorted((r.id, r.v) for r in store.read("x").select("id", F.col("v")).collect()) == [(1, "c"), (2, "b")]
+
+
+def test_reports_are_whole(spark, tmp_path, monkeypatch):
+    """However many rows there are, none is left out of the page, the workbook, the copies or the answer."""
+    from vellumflow.plans import project
+
+    monkeypatch.setattr(project, "REPORT_ROWS", 3, raising=False)
+    monkeypatch.setattr(xlsx, "SHEET_ROWS", 4, raising=False)
+    for i in range(10):
+        (tmp_path / "in" / str(i)).mkdir(parents=True)
+        (tmp_path / "in" / str(i) / f"n{i % 9}.pdf").write_bytes(text_pdf([f"The cedar bridge {i} opened in May 192{i}; Anna B. Karlholt{'abcdefghij'[i]} spoke."]))
+    for i in range(5):
+        (tmp_path / "in" / f"bad{i}.pdf").write_bytes(b"junk %d" % i)
+    (tmp_path / "p.yaml").write_text("name: Cedar\npdf_directory: in\noutput_directory: out\nquestion: Where is the cedar bridge?\n")
+    run_project(spark, ProjectConfig.from_path(tmp_path / "p.yaml"), now="2024-01-01T00:00:00")
+    page = (tmp_path / "out/report.html").read_text()
+    assert page.count('id="evidence-') == 10 and "10 findings in 9 documents." in page
+    sections = {s.split("</h2>")[0]: s.count("<tr") - 1 for s in page.split("<h2>")[1:]}
+    assert [sections[k] for k in ("Responsive Index", "People", "Evidence Timeline", "Responsive Documents", "Errors")] == [10, 10, 10, 10, 5]
+    assert sorted(p.name for p in (tmp_path / "out/pdfs").iterdir()) == sorted([f"n{i}.pdf" for i in range(9)] + ["n0_1.pdf"])
+    book = zipfile.ZipFile(tmp_path / "out/report.xlsx")
+    names = [x.split('"')[0] for x in book.read("xl/workbook.xml").decode().split('<sheet name="')[1:]]
+    rows = [book.read(f"xl/worksheets/sheet{i}.xml").decode().count("<row") - 1 for i in range(1, len(names) + 1)]
+    assert list(zip(names, rows)) == [("Evidence", 4), ("Evidence 2", 4), ("Evidence 3", 2), ("Documents", 4), ("Documents 2", 4), ("Documents 3", 4), ("Documents 4", 3), ("Failures", 4), ("Failures 2", 1)]

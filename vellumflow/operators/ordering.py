@@ -44,15 +44,18 @@ def unique_names(names: Sequence[str]) -> list[str]:
     """Each name as it is, or with _1, _2, ... before its suffix until no earlier one has it. An ordered fold: it runs on the
     driver over the files one report copies."""
     used: set[str] = set()
+    last: dict[str, int] = {}
     out = []
     for name in names:
         stem, dot, suffix = name.rpartition(".")
         if not dot or not stem:
             stem, suffix = name, ""
-        got, k = name, 0
+        k = last.get(name, 0)
+        got = f"{stem}_{k}{dot if stem != name else ''}{suffix}" if k else name
         while got in used:
             k += 1
             got = f"{stem}_{k}{dot if stem != name else ''}{suffix}"
         used.add(got)
+        last[name] = k
         out.append(got)
     return out

@@ -17,9 +17,6 @@ from vellumflow.sinks import files, html, xlsx
 from vellumflow.sources import archive, extract
 from vellumflow.sources.config import ProjectConfig
 
-#: Rows of one report section the driver renders; a larger report is cut into several by the caller.
-REPORT_ROWS = 100_000
-
 
 def page_texts(paths: DataFrame) -> DataFrame:
     """(document_sha256, filename, pages): the text operators of every page of the files, read in the tasks."""
@@ -123,25 +120,31 @@ def _report(spark: SparkSession, store: TableStore, config: ProjectConfig, query
     figures = reports.key_figures(joined).first().asDict()
     found = keyed.where(reports.is_succeeded() & reports.is_responsive()).select("analysis_key", "document_sha256", "source_filename", F.col("summary").alias("document_summary")).join(evidence, "analysis_key")
     rows = reports.timeline_rows(found.withColumns({"query_id": F.lit(0), "evidence_id": F.concat_ws("-", "analysis_key", "ordinal"), "analysis_id": F.col("analysis_key")}))
-    numbered = ordering.number_rows(rows, reports.timeline_order(), "position").limit(REPORT_ROWS)
-    timeline = [r.asDict() for r in numbered.orderBy("position").select(F.concat(F.lit("evidence-"), F.col("position").cast("string")).alias("_anchor"), "position", F.col("date_badge_label").alias("date"), "source_filename", F.col("page_label").alias("pages"), "people", F.col("brief_summary").alias("summary")).collect()]
+    numbered = ordering.number_rows(rows, reports.timeline_order(), "position")
+    timeline = numbered.orderBy("position").select(F.concat(F.lit("evidence-"), F.col("position").cast("string")).alias("_anchor"), "position", F.col("date_badge_label").alias("date"), "source_filename", F.col("page_label").alias("pages"), "people", F.col("brief_summary").alias("summary"))
     none = spark.createDataFrame([], "query_id int, name string, canonical string")
-    index = reports.people_index(rows, none, "query_id").orderBy("surname_key", "given_key", "person").limit(REPORT_ROWS)
-    people = [r.asDict() for r in index.select(F.col("anchor").alias("_anchor"), "person", "mention_count", "time_period", "variants").collect()]
-    failures = [r.asDict() for r in joined.where(~reports.is_succeeded()).select("canonical_filename", "status", "failure_type", "error_text").orderBy("canonical_filename").limit(REPORT_ROWS).collect()]
-    docs = [r.asDict() for r in joined.where(reports.is_responsive()).select(text.document_anchor("canonical_filename", "sha256").alias("_anchor"), "canonical_filename", "page_count", "evidence_count").orderBy(F.lower("canonical_filename")).limit(REPORT_ROWS).collect()]
-    findings = [{"document": t["source_filename"], "summary": t["summary"]} for t in timeline]
-    answer = extract.synthesize(config.question, findings, figures["total_documents"] - figures["unanalyzed_documents"], lambda q, f: {"answer": f"{len(f)} findings in {len({x['document'] for x in f})} documents.", "key_findings": [x["summary"] for x in f[:5]]})
+    index = reports.people_index(rows, none, "query_id").orderBy("surname_key", "given_key", "person")
+    people = index.select(F.col("anchor").alias("_anchor"), "person", "mention_count", "time_period", "variants")
+    failures = joined.where(~reports.is_succeeded()).select("canonical_filename", "status", "failure_type", "error_text").orderBy("canonical_filename")
+    docs = joined.where(reports.is_responsive()).select(text.document_anchor("canonical_filename", "sha256").alias("_anchor"), "canonical_filename", "page_count", "evidence_count").orderBy(F.lower("canonical_filename"))
+    n_findings, n_documents = numbered.count(), numbered.select("source_filename").distinct().count()
+    findings = [{"document": t["source_filename"], "summary": t["summary"]} for t in timeline.limit(5).collect()]
+    answer = extract.synthesize(config.question, findings, figures["total_documents"] - figures["unanalyzed_documents"], lambda q, f: {"answer": f"{n_findings} findings in {n_documents} documents.", "key_findings": [x["summary"] for x in f]})
     summary = [{"figure": k.replace("_", " "), "value": v} for k, v in figures.items()]
-    index_rows = [{"document": x["canonical_filename"], "evidence": x["evidence_count"]} for x in docs]
-    html.write_report(output / config.report_html_filename, config.name, {"summary": summary, "answer": [answer], "index": index_rows, "people": people, "timeline": timeline, "documents": docs, "errors": failures})
+    index_rows = docs.select(F.col("canonical_filename").alias("document"), F.col("evidence_count").alias("evidence"))
+    html.write_report(output / config.report_html_filename, config.name, {"summary": summary, "answer": [answer], "index": _lines(index_rows), "people": _lines(people), "timeline": _lines(timeline), "documents": _lines(docs), "errors": _lines(failures)})
     _workbook(output / (Path(config.report_html_filename).stem + ".xlsx"), found, documents, keyed.join(counts, "analysis_key", "left"), store.read("document_paths"))
     paths = store.read("document_paths")
     copied = ordering.preferred_path(paths.join(joined.where(reports.is_responsive()).select("sha256"), "sha256", "left_semi"), "sha256", "absolute_path")
-    files.copy_documents([r["absolute_path"] for r in copied.orderBy("absolute_path").limit(REPORT_ROWS).collect()], output / "pdfs")
+    files.copy_documents((r["absolute_path"] for r in copied.orderBy("absolute_path").toLocalIterator()), output / "pdfs")
     return figures
 
 
+def _lines(rows: DataFrame) -> Iterator[dict]:
+    """All rows in order, of which the driver holds one partition at a time."""
+    return (r.asDict() for r in rows.toLocalIterator())
+
+
 def _workbook(path: Path, evidence: DataFrame, documents: DataFrame, analyses: DataFrame, paths: DataFrame) -> None:
     """Sheets Evidence, Documents and Failures."""
     where = ordering.preferred_path(paths, "sha256", "absolute_path").withColumnRenamed("absolute_path", "source_path")
@@ -153,8 +156,8 @@ def _workbook(path: Path, evidence: DataFrame, documents: DataFrame, analyses: D
     docs = shown.select(F.col("canonical_filename").alias("source_filename"), "relative_path", "status", "responsive", "relevance_score", "summary", *lists("people", "places", "dates"), F.coalesce("evidence_count", F.lit(0)).alias("evidence_count"), "failure_type", "error_text", F.struct("canonical_filename", "sha256").alias("_order"))
     failed = shown.where("status = 'failed'").select(F.col("canonical_filename").alias("source_filename"), "status", "failure_type", "error_text", "source_path", "completed_at", F.struct("completed_at", "canonical_filename", "sha256").alias("_order"))
 
-    def sheet(df: DataFrame) -> tuple[list[str], list[tuple]]:
+    def sheet(df: DataFrame) -> tuple[list[str], Iterator[tuple]]:
         columns = [c for c in df.columns if c != "_order"]
-        return columns, [tuple(r) for r in df.orderBy("_order").limit(REPORT_ROWS).select(*columns).collect()]
+        return columns, (tuple(r) for r in df.orderBy("_order").select(*columns).toLocalIterator())
 
     xlsx.write_workbook(path, {"Evidence": sheet(rows), "Documents": sheet(docs), "Failures": sheet(failed)})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import shutil
-from collections.abc import Sequence
+from collections.abc import Iterable
 from pathlib import Path
 
 from vellumflow.operators.ordering import unique_names
@@ -23,9 +23,9 @@ def write_marker(directory: str | Path, marker: str = ".pdfdata", payload: objec
     (target / ".gitignore").write_text("*\n", encoding="utf-8")
 
 
-def copy_documents(paths: Sequence[str | Path], target: str | Path) -> dict[str, str]:
+def copy_documents(paths: Iterable[str | Path], target: str | Path) -> dict[str, str]:
     """Copies of one report's documents in a folder made anew: source path -> name there."""
-    folder = Path(target)
+    paths, folder = list(paths), Path(target)
     shutil.rmtree(folder, ignore_errors=True)
     folder.mkdir(parents=True)
     names = unique_names([Path(p).name for p in paths])
