@@ -86,3 +86,18 @@ def test_tokens():
     assert kinds("ID as 666 63 9339") == [("ID", "word"), ("as", "word"), ("666 63 9339", "number")]
     assert kinds("no. qq 376175 c, XC 718 7532")[2::2] == [("qq 376175 c", "code"), ("XC 718 7532", "code")]
     assert kinds("met at Low Field. Then @ 3.5")[1] == ("at", "word")
+
+
+def test_lexicon_counts_all_different_texts(spark):
+    """One copied or long text unlearns no surname; a look-alike in many texts is unlearnt, wherever in them it stands."""
+    from vellumflow.llm.personal import learn_lexicon
+
+    heads = [f"From: {g} {n}\nnote {i}." for i in range(3) for g, n in [("Anna", "Veckholt"), ("Tobias", "Pellmere"), ("Anna", "Vecklere")]]
+    copied = ["Veckholt met nobody. Veckholt left."] * 200 + ["So " + "Pellmere went. " * 60]
+    things = [("word " * 2_000) + f"number {i} on the Vecklere hill." for i in range(100)]
+    texts = [*heads, *copied, *things, "Mrs. Veckholt came.", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lexicon = learn_lexicon(df)
+    assert {"anna", "tobias"} <= lexicon.given
+    assert lexicon.things == {"vecklere"}
+    assert lexicon.is_surname("Veckholt") and lexicon.is_surname("Pellmere")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,8 +25,8 @@ PLAIN_EVERY = 8
 SAMPLE_CHARS = 6_000
 EPOCHS, RATE, SHRINK = 25, 0.25, 0.02
 BUCKETS = 1 << 17
-#: Occurrences in the sample from which a surname-like word that never names anybody is taken for none.
-LOOKALIKE = 25
+#: Of so many different texts, those from which a surname-like word that never names anybody is taken for none.
+LOOKALIKE, LOOKALIKE_OF = 25, 4_000
 #: Loopy rounds, and the tokens a chain has at most.
 ROUNDS, CHAIN = 2, 96
 
@@ -93,9 +93,13 @@ def _bare(word: str) -> str:
 
 
 class Lexicon:
-    """Given names and the beginnings and ends of surnames, learnt from the letterheads of a sample."""
+    """Given names and the beginnings and ends of surnames, learnt from the letterheads of all texts.
+
+    ``scale`` is the number of different texts over LOOKALIKE_OF, 1 at least: what must be seen so often grows with it.
+    """
 
     _HEAD = re.compile(r"(?m)^(?:(?i:from|to|name|cc)\s*:)\s*(.+?)\s*(?:<.*)?$")
+    _USE = re.compile(rf"({_L}+\.?)\s+({_L}{{5,}}(?:['’\-]{_L}+)*)|(?<!\w)({_L}{{5,}}(?:['’\-]{_L}+)*)")
 
     def __init__(self) -> None:
         self.given: set[str] = set(GIVEN) | set(FORMAL)
@@ -103,40 +107,43 @@ class Lexicon:
         self.ends: set[str] = set()
         self.things: set[str] = set()
 
-    def learn(self, texts: list[str]) -> None:
-        given, begins, ends = Counter(), Counter(), Counter()
-        for t in texts:
-            for head in self._HEAD.findall(t):
-                if not re.fullmatch(rf"(?:{_L}|[\s.,'’-])+", head) or any(w in head.split() for w in ("of", "the", "for")):
-                    continue
-                parts = head.split(",")
-                names = parts[1].split() + parts[0].split()[-1:] if len(parts) == 2 and parts[1].strip() else head.split()
-                names = [n for n in names if len(n.strip(".")) > 1 and n[0].isupper() and fold(n.strip(".")) not in TITLES]
-                if len(names) < 2 or len(names) > 4:
-                    continue
-                given[fold(names[0])] += 1
-                for half in _bare(names[-1]).split("-"):
-                    if len(half) >= 5:
-                        begins[half[:3]] += 1
-                        ends[half[-3:]] += 1
-        self.given |= {g for g, n in given.items() if n > 1}
-        self.begins |= {g for g, n in begins.items() if n > 1}
-        self.ends |= {g for g, n in ends.items() if n > 1}
-        self._learn_things(texts)
-
-    def _learn_things(self, texts: list[str]) -> None:
-        """Words that look like surnames and are frequent, but hardly ever follow a first name, an initial or a title."""
-        seen, named = Counter(), Counter()
-        word = re.compile(rf"({_L}+\.?)\s+({_L}{{5,}}(?:['’\-]{_L}+)*)|(?<!\w)({_L}{{5,}}(?:['’\-]{_L}+)*)")
-        for t in texts:
-            for before, after, alone in word.findall(t):
-                w = after or alone
-                if self.is_surname(w):
-                    key = _bare(w)
-                    seen[key] += 1
-                    b = fold(before).rstrip(".")
-                    named[key] += b in TITLES or b in PARTICLES or before != "" and self.is_given(before) or len(b) == 1
-        self.things = {w for w, n in seen.items() if n >= LOOKALIKE and named[w] < 0.05 * n}
+    @classmethod
+    def heads(cls, text: str) -> Iterator[tuple[str, str]]:
+        """(kind, part) of the names in a text's letterheads: given, begins and ends."""
+        for head in cls._HEAD.findall(text):
+            if not re.fullmatch(rf"(?:{_L}|[\s.,'’-])+", head) or any(w in head.split() for w in ("of", "the", "for")):
+                continue
+            parts = head.split(",")
+            names = parts[1].split() + parts[0].split()[-1:] if len(parts) == 2 and parts[1].strip() else head.split()
+            names = [n for n in names if len(n.strip(".")) > 1 and n[0].isupper() and fold(n.strip(".")) not in TITLES]
+            if len(names) < 2 or len(names) > 4:
+                continue
+            yield "given", fold(names[0])
+            for half in _bare(names[-1]).split("-"):
+                if len(half) >= 5:
+                    yield "begins", half[:3]
+                    yield "ends", half[-3:]
+
+    def uses(self, text: str) -> dict[str, bool]:
+        """Words of a text that look like surnames: whether one ever follows a first name, an initial or a title there."""
+        found: dict[str, bool] = {}
+        for before, after, alone in self._USE.findall(text):
+            w = after or alone
+            if self.is_surname(w):
+                b = fold(before).rstrip(".")
+                key = _bare(w)
+                found[key] = found.get(key, False) or b in TITLES or b in PARTICLES or before != "" and self.is_given(before) or len(b) == 1
+        return found
+
+    def learn(self, parts: Iterable[tuple[str, str, int]], scale: float = 1.0) -> None:
+        """Takes up (kind, part, occurrences) of :meth:`heads`."""
+        for kind, part, n in parts:
+            if n > scale:
+                getattr(self, kind).add(part)
+
+    def learn_things(self, words: Iterable[tuple[str, int, int]], scale: float = 1.0) -> None:
+        """Takes up (word, texts, texts in which it names somebody) of :meth:`uses`: frequent words that hardly ever do."""
+        self.things = {w for w, n, named in words if n >= LOOKALIKE * scale and named < 0.05 * n}
 
     def is_given(self, word: str) -> bool:
         w = fold(word)
@@ -595,13 +602,41 @@ class Model:
         return [best[s : s + len(d)] for s, d in zip(features.doc_starts, docs)]
 
 
+def learn_lexicon(documents: DataFrame) -> Lexicon:
+    """The lexicon of all texts in full length, equal ones counted once; only parts seen often enough reach the driver."""
+    keyed = documents.where("doc_id is not null and length(text) > 0").select(F.sha2("text", 256).alias("_text"), "text")
+    texts = spread(drop_repeats(keyed, ["_text"]).select("text"))
+    scale = max(1.0, keyed.select("_text").distinct().count() / LOOKALIKE_OF)
+    lexicon = Lexicon()
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            counts = Counter(h for t in pdf["text"] for h in Lexicon.heads(t))
+            yield pd.DataFrame([(*h, n) for h, n in counts.items()], columns=["kind", "part", "n"])
+
+    parts = texts.mapInPandas(heads, "kind string, part string, n long").groupBy("kind", "part").agg(F.sum("n").alias("n"))
+    lexicon.learn([tuple(r) for r in parts.where(F.col("n") > scale).collect()], scale)
+    known = documents.sparkSession.sparkContext.broadcast(lexicon)
+
+    def uses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            seen, named = Counter(), Counter()
+            for t in pdf["text"]:
+                for w, names in known.value.uses(t).items():
+                    seen[w] += 1
+                    named[w] += names
+            yield pd.DataFrame([(w, n, named[w]) for w, n in seen.items()], columns=["word", "n", "named"])
+
+    words = texts.mapInPandas(uses, "word string, n long, named long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("named").alias("named"))
+    lexicon.learn_things([tuple(r) for r in words.where(F.col("n") >= LOOKALIKE * scale).collect()], scale)
+    return lexicon
+
+
 def fit_model(documents: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model fitted on at most ``sample`` documents, those of least hashed id."""
+    """A model fitted on at most ``sample`` documents, those of least hashed id, with the lexicon of all documents."""
     rows = documents.where("length(text) > 0").select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("h", "text").limit(sample).collect()
     texts = [r["text"] for r in rows]
-    lexicon = Lexicon()
-    lexicon.learn(texts)
-    model = Model(lexicon)
+    model = Model(learn_lexicon(documents))
     model.fit(texts)
     model.weights = model.weights.astype(np.float32)
     return model
