@@ -1,5 +1,9 @@
+from types import SimpleNamespace
+
+import pytest
 from pyspark.sql import functions as F
 
+from vellumflow.plans import tables
 from vellumflow.plans.tables import cut_lineage, drop_repeats, join_small, spread
 
 ROWS = [(1, "a"), (1, "a"), (2, None), (None, "n"), (None, "n"), (3, "c"), (2, None), (2, None)]
@@ -11,13 +15,27 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
 
 
-def test_drop_repeats_both_ways(spark):
+def test_drop_repeats(spark):
     df = spark.createDataFrame(ROWS, SCHEMA)
     assert rows(drop_repeats(df, ["k"])) == ONCE
-    assert rows(drop_repeats(df, ["k"], broadcast_rows=1)) == ONCE
+    assert rows(drop_repeats(df, ["k", "v"])) == ONCE
     assert rows(drop_repeats(df.limit(0), ["k"])) == []
-    unique = df.dropDuplicates(["k"])
-    assert drop_repeats(unique, ["k"]) is unique
+    named = df.withColumnRenamed("k", "_n").withColumnRenamed("v", "a b.c")
+    assert rows(drop_repeats(named, ["_n"])) == ONCE and drop_repeats(named, ["a b.c"]).count() == 4
+
+
+def test_drop_repeats_with_a_full_filter(spark, monkeypatch):
+    """Every row meets a set bit: all are shuffled and none is lost."""
+    monkeypatch.setattr(tables, "FILTER_BITS", 1)
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    assert rows(drop_repeats(df, ["k"])) == ONCE
+
+
+def test_a_cluster_needs_a_shared_folder():
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    df = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context, conf={}))
+    with pytest.raises(RuntimeError):
+        cut_lineage(df)
 
 
 def test_join_small_both_ways(spark):

@@ -8,8 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key set of at most this many rows is sent to every executor (about 16 bytes a row with a long key).
-BROADCAST_KEY_ROWS = 500_000
+#: Bits of the filter that tells which rows may be repeats, 64 to a row of what is broadcast: at most 2**20 rows of 16 bytes.
+FILTER_BITS = 1 << 26
 
 
 def read_table(spark: SparkSession, directory: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -18,40 +18,36 @@ def read_table(spark: SparkSession, directory: str, name: str, columns: Sequence
     return df.select(*columns) if columns else df
 
 
-def drop_repeats(df: DataFrame, keys: Sequence[str], broadcast_rows: int = BROADCAST_KEY_ROWS) -> DataFrame:
+def drop_repeats(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``df`` with one row for each different value of ``keys``; rows sharing a key must be equal in the columns kept.
 
-    Wide rows (texts, lists) are not shuffled merely because a few of them arrived twice: the keys alone are counted
-    first, rows whose key is unique stream through untouched, and only the repeated ones are shuffled. Where more than
-    ``broadcast_rows`` keys repeat, all rows are deduplicated by an ordinary shuffle. Null keys equal each other.
+    Wide rows (texts, lists) are not shuffled merely because a few of them arrived twice: the keys alone are counted, those
+    that repeat set bits in a filter of FILTER_BITS, and only rows that meet a set bit are shuffled. The filter's size is
+    fixed; the more keys repeat, the more rows without repeat meet a set bit by chance and are shuffled too, which costs time
+    but changes no row. Nothing is collected. Null keys equal each other.
     """
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
-    repeated = [tuple(r) for r in counted.limit(broadcast_rows + 1).collect()]
-    if not repeated:
-        return df
-    if len(repeated) > broadcast_rows:
-        return df.dropDuplicates(list(keys))
-    spark = df.sparkSession
-    schema = df.select(*keys).schema
-    small = spark.createDataFrame(repeated, schema).select(*(F.col(k).alias(f"_k_{k}") for k in keys))
-    same = None
-    for k in keys:
-        test = df[k].eqNullSafe(small[f"_k_{k}"])
-        same = test if same is None else same & test
-    once = df.join(F.broadcast(small), same, "left_anti")
-    again = df.join(F.broadcast(small), same, "left_semi").dropDuplicates(list(keys))
-    return once.unionByName(again)
+    names = [f"`{k}`" for k in keys]
+    bit = F.pmod(F.xxhash64(*names), F.lit(FILTER_BITS))
+    repeated = df.groupBy(*names).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.floor(bit / 64).cast("int").alias("__word"), (bit % 64).cast("int").alias("__place"))
+    words = repeated.groupBy("__word").agg(F.expr("bit_or(shiftleft(1L, __place))").alias("__bits"))
+    marked = df.withColumn("__word", F.floor(bit / 64).cast("int")).join(F.broadcast(words), "__word", "left").withColumn("__again", F.coalesce(F.getbit("__bits", (bit % 64).cast("int")) == 1, F.lit(False)))
+    own = [f"`{c}`" for c in df.columns]
+    once = marked.where("not __again").select(*own)
+    return once.unionByName(marked.where("__again").select(*own).dropDuplicates(list(keys)))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder, so that later reads neither recompute it nor depend on an executor.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset (local tests) is a temporary folder used.
+    The folder is the cluster's ``spark.checkpoint.dir``. Where that is unset, a local master (one machine) gets a temporary
+    folder, and a cluster an error: a folder of one machine would be lost with it.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="vellumflow-checkpoint-"))
     return df.checkpoint(eager=True)
 
