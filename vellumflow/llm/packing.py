@@ -189,5 +189,5 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, path: str = V
 
     Texts are encoded once: their sizes are written to shared storage, from where both passes of :func:`pack` read.
     """
-    once = spread(drop_repeats(documents.select("doc_id", "text").where("doc_id is not null"), ["doc_id"]))
+    once = drop_repeats(spread(documents.select("doc_id", "text").where("doc_id is not null")), ["doc_id"])
     return pack(cut_lineage(once.select("doc_id", token_count("text", path).alias("n_tokens"))), "doc_id", "n_tokens", capacity)

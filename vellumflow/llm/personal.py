@@ -777,4 +777,4 @@ def redact_personal(documents: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def _once(documents: DataFrame) -> DataFrame:
-    return spread(drop_repeats(documents.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null"), ["doc_id"]))
+    return drop_repeats(spread(documents.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")), ["doc_id"])

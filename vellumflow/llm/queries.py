@@ -30,7 +30,7 @@ def p1_survivors(spark: SparkSession, directory: str) -> DataFrame:
 def _clusters(spark: SparkSession, directory: str) -> tuple[DataFrame, ...]:
     return (
         read_table(spark, directory, "name_clusters", ["cluster_id", "run_id", "member_name_ids", "member_names"]),
-        read_table(spark, directory, "name_records", ["name_id", "name_string", "mentions"]),
+        read_table(spark, directory, "name_records", ["name_id", "name_string", "mentions", "origin"]),
         read_table(spark, directory, "analysis_evidence", ["evidence_id", "analysis_id", "people"]),
         read_table(spark, directory, "document_analyses", ["analysis_id", "run_id"]),
     )
@@ -97,7 +97,7 @@ def _candidates(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFra
 @query
 def p7_ids(spark: SparkSession, directory: str) -> DataFrame:
     """Every text as its list of byte_bpe_50k ids."""
-    return spread(drop_repeats(_documents(spark, directory), ["doc_id"])).select("doc_id", encoding.token_ids("text").alias("ids"))
+    return drop_repeats(spread(_documents(spark, directory)), ["doc_id"]).select("doc_id", encoding.token_ids("text").alias("ids"))
 
 
 @query

@@ -1,150 +1,198 @@
-"""One surviving record for each group of duplicate names, from a latent model of how far each way of writing can be trusted."""
+"""One surviving record for each group of duplicate names, from a latent model of how far each recorder can be trusted."""
 
 from __future__ import annotations
 
-import json
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from math import exp, log
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumflow.llm.names import Name, alike, core, fold, formal_names, parse
+from vellumflow.llm.names import Name, alike, fold, parse
 from vellumflow.plans.tables import cut_lineage, drop_repeats
 
-#: The sources whose quality is inferred: each way of writing a name is one, and so are the counts of evidence rows and the
-#: corpus of all names. A string belongs to the first of its styles in this order, or to 'plain'.
-SOURCES = ("plain", "acronym", "abbreviated", "nickname", "surname_only", "joined", "initial", "upper", "lower", "dotted", "quoted", "note", "inverted", "title", "article", "reordered", "spacing", "composition", "punctuation", "evidence", "corpus")
+#: Ways of writing; a string belongs to the first of its styles in this order, or to 'plain'.
+HANDS = ("plain", "acronym", "abbreviated", "nickname", "surname_only", "joined", "initial", "upper", "lower", "dotted", "quoted", "note", "inverted", "title", "article", "reordered", "spacing", "composition", "punctuation")
+#: Recorders are told apart by a hash of their name: their number is bounded whatever the column holds.
+RECORDERS = 64
+#: A source is a recorder's string in one way of writing; two more are the evidence rows and the corpus of all names.
+EVIDENCE = RECORDERS * len(HANDS)
+CORPUS, SOURCES = EVIDENCE + 1, EVIDENCE + 2
 #: Beta pseudo-counts: (claimed, not claimed) of a true value, and (not claimed, claimed) of a false one.
-SENSITIVITY, SPECIFICITY, TRUE_SHARE = (6.0, 4.0), (18.0, 2.0), (1.0, 1.0)
-ROUNDS = 6
+SENSITIVITY, SPECIFICITY, TRUE_SHARE = (6.0, 4.0), (18.0, 2.0), (2.0, 2.0)
+#: The iteration ends when no parameter moves further than this, or after so many rounds.
+SETTLED, ROUNDS = 5e-3, 60
 #: A multi-valued field keeps every value with at least this probability of being true.
 TRUE_FROM = 0.5
+#: What a value judged true is worth to the record that states it; a nickname or initial instead of a first name, and an
+#: abbreviated organisation, are worth what they leave open.
+WORTH = {"surname": 3, "given": 4, "middle": 1, "suffix": 1, "words": 1}
+NICKNAME, INITIAL, ABBREVIATED = 2, 1, 0.5
+FIELDS = tuple(WORTH)
 
 
-def source_of(name: Name) -> str:
-    return next((s for s in SOURCES if s in name.style), "plain")
+def source_of(name: Name, recorder: str | None) -> int:
+    hand = next((i for i, s in enumerate(HANDS) if s in name.style), 0)
+    return (zlib.crc32(recorder.encode()) % RECORDERS if recorder else 0) * len(HANDS) + hand
 
 
 def claims_of(name: Name) -> dict[str, set[str]]:
     """Values a string states of each field; fields it leaves out are absent, and nicknames and initials state no first name.
 
-    A middle name spelt out also states its initial: both are true of one person.
+    Surname, middle name and an organisation's words hold several values: both halves of a double surname, every middle
+    name, every word. A middle name spelt out also states its initial: both are true of one person.
     """
     said: dict[str, set[str]] = {}
-    if name.kind == "organisation":
-        return {"words": {" ".join(name.words)}} if "abbreviated" not in name.style else {}
+    if name.kind == "organisation" and "abbreviated" not in name.style:
+        said["words"] = set(name.words)
     if name.kind == "person":
         if name.surname:
-            said["surname"] = {name.surname}
+            said["surname"] = {h for h in name.surname.split("-") if h}
         if name.given:
             said["given"] = {name.given}
         if name.middle:
-            said["middle"] = {m for x in name.middle[:1] for m in (x, fold(x)[:1])}
+            said["middle"] = {m for x in name.middle for m in (x, fold(x)[:1])}
         if name.suffix:
             said["suffix"] = {name.suffix}
     return said
 
 
-def facts_of(members: list[tuple[Name, float]], seen: dict[str, int]) -> dict[tuple[str, str], dict[int, tuple[float, float]]]:
-    """(field, value) -> source -> (claims for, claims against) of one group.
+def _grams(word: str) -> Counter:
+    return Counter(zip("\x02" + word, word + "\x03"))
 
-    Each member that fills a field speaks for its values and against the others. The evidence speaks for the value most of
-    its rows have, the corpus for values no rival of which is spelt so three times as often in all names.
+
+@lru_cache(200_000)
+def rivals(field: str, a: str, b: str) -> bool:
+    """Whether at most one of two values can be true: first names and suffixes always, others if one is a spelling of the other."""
+    if a == b or field in ("given", "suffix"):
+        return a != b
+    x, y = (fold(v).replace(" ", "") for v in (a, b))
+    if min(len(x), len(y)) < 2:
+        return False
+    return alike(x, y) or 2 * (_grams(x) & _grams(y)).total() >= 0.6 * (len(x) + len(y) + 2)
+
+
+def facts_of(members: list[tuple[Name, float, str | None]], seen: dict[str, int]) -> dict[tuple[str, str], dict[int, tuple[float, float]]]:
+    """(field, value) -> source -> (claims for, claims against) of one group; ``members``: name, evidence rows, recorder.
+
+    Each member speaks for the values it states and against their rivals. The evidence speaks for the spelling most of its
+    rows have, the corpus for a spelling no rival of which stands in three times as many names.
     """
-    said = [claims_of(n) for n, _ in members]
-    facts: dict[tuple[str, str], dict[int, list[float]]] = defaultdict(lambda: defaultdict(lambda: [0.0, 0.0]))
-    for field in ("words", "surname", "given", "middle", "suffix"):
-        values = {v for s in said for v in s.get(field, ())}
-        if not values:
-            continue
-        rows = {v: sum(w for (_, w), s in zip(members, said) if v in s.get(field, ())) for v in values}
-        spelt = {v: min((seen.get(t, 0) for t in v.replace("-", " ").split()), default=0) for v in values}
-        most_rows, most_spelt = max(rows.values()), max(spelt.values())
+    said = [(source_of(n, r), w, claims_of(n)) for n, w, r in members]
+    facts: dict[tuple[str, str], dict[int, tuple[float, float]]] = {}
+    for field in FIELDS:
+        values = sorted({v for _, _, s in said for v in s.get(field, ())})
+        rows = {v: sum(w for _, w, s in said if v in s.get(field, ())) for v in values}
+        spelt = {v: min((seen.get(t, 0) for t in v.split()), default=0) for v in values}
         for v in values:
-            fact = facts[field, v]
-            for (n, _), s in zip(members, said):
-                if field in s:
-                    fact[SOURCES.index(source_of(n))][0 if v in s[field] else 1] += 1
-            if most_rows:
-                fact[SOURCES.index("evidence")][0 if rows[v] >= most_rows else 1] += 1
-            if most_spelt and len(v) > 1:
-                fact[SOURCES.index("corpus")][0 if 3 * spelt[v] >= most_spelt else 1] += 1
-    return {k: {s: (a, b) for s, (a, b) in v.items()} for k, v in facts.items()}
+            against = [x for x in values if rivals(field, v, x)]
+            fact: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0])
+            for source, _, s in said:
+                stated = s.get(field, ())
+                if v in stated:
+                    fact[source][0] += 1
+                elif any(x in stated for x in against):
+                    fact[source][1] += 1
+            if against and (most := max(rows[x] for x in (v, *against))):
+                fact[EVIDENCE][0 if rows[v] >= most else 1] += 1
+            if against and len(v) > 1 and (most := max(spelt[x] for x in (v, *against))):
+                fact[CORPUS][0 if 3 * spelt[v] >= most else 1] += 1
+            facts[field, v] = {s: (a, b) for s, (a, b) in fact.items()}
+    return facts
 
 
 class Quality:
     """Sensitivity and specificity of each source, and the share of stated values that are true."""
 
     def __init__(self) -> None:
-        n = len(SOURCES)
-        self.sensitivity = np.full(n, SENSITIVITY[0] / sum(SENSITIVITY))
-        self.specificity = np.full(n, SPECIFICITY[0] / sum(SPECIFICITY))
-        self.true = 0.5
+        self.sensitivity = np.full(SOURCES, SENSITIVITY[0] / sum(SENSITIVITY))
+        self.specificity = np.full(SOURCES, SPECIFICITY[0] / sum(SPECIFICITY))
+        self.true = TRUE_SHARE[0] / sum(TRUE_SHARE)
+
+    def weights(self) -> tuple[np.ndarray, np.ndarray]:
+        """What a claim for and a claim against of each source add to the log odds of a value."""
+        return np.log(self.sensitivity / (1 - self.specificity)), np.log((1 - self.sensitivity) / self.specificity)
 
     def probability(self, claims: dict[int, tuple[float, float]]) -> float:
-        """E-step: how probably a value is true, given who claims it and who, filling the field, doesn't."""
-        odds = log(self.true / (1 - self.true))
-        for s, (yes, no) in claims.items():
-            odds += yes * log(self.sensitivity[s] / (1 - self.specificity[s])) + no * log((1 - self.sensitivity[s]) / self.specificity[s])
-        return 1 / (1 + exp(-max(-500.0, min(500.0, odds))))
-
-    def learn(self, sums: np.ndarray, true: float, facts: float) -> None:
-        """M-step from expected counts: (source, [claimed if true, not if true, claimed if false, not if false])."""
+        """How probably a value is true, given who claims it and who claims a rival."""
+        yes, no = self.weights()
+        odds = np.log(self.true / (1 - self.true)) + sum(a * yes[s] + b * no[s] for s, (a, b) in claims.items())
+        return float(1 / (1 + np.exp(-np.clip(odds, -500, 500))))
+
+    def learn(self, sums: np.ndarray, true: float, facts: float) -> float:
+        """M-step from expected counts (source, [claimed if true, not if true, claimed if false, not if false]); how far it moved."""
+        before = (self.sensitivity, self.specificity, self.true)
         self.sensitivity = (sums[:, 0] + SENSITIVITY[0]) / (sums[:, 0] + sums[:, 1] + sum(SENSITIVITY))
         self.specificity = (sums[:, 3] + SPECIFICITY[0]) / (sums[:, 2] + sums[:, 3] + sum(SPECIFICITY))
         self.true = (true + TRUE_SHARE[0]) / (facts + sum(TRUE_SHARE))
+        return max(float(np.max(np.abs(a - b))) for a, b in zip(before, (self.sensitivity, self.specificity, self.true)))
+
+
+_PATTERN = "sources array<int>, yes array<int>, no array<int>"
 
 
 def _patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Facts of each group as claim patterns; only their numbers matter to the model."""
     for pdf in batches:
-        counts: dict[str, int] = defaultdict(int)
+        counts: Counter = Counter()
         for group, tokens in zip(pdf["members"], pdf["tokens"]):
             for claims in facts_of(_members(group), _seen(tokens)).values():
-                counts[json.dumps(sorted((s, a, b) for s, (a, b) in claims.items()))] += 1
+                counts[tuple(sorted((s, int(a), int(b)) for s, (a, b) in claims.items()))] += 1
         if counts:
-            yield pd.DataFrame({"pattern": list(counts), "n": list(counts.values())})
+            yield pd.DataFrame({"sources": [[s for s, _, _ in k] for k in counts], "yes": [[a for _, a, _ in k] for k in counts], "no": [[b for _, _, b in k] for k in counts], "n": list(counts.values())})
 
 
-def _members(group) -> list[tuple[Name, float]]:
-    return [(parse(m["name"]) if m["name"] is not None else Name("nobody"), float(m["rows"] or 0)) for m in group]
+def _members(group) -> list[tuple[Name, float, str | None]]:
+    return [(parse(m["name"]) if m["name"] is not None else Name("nobody"), float(m["rows"] or 0), m["origin"]) for m in group]
 
 
 def _seen(tokens) -> dict[str, int]:
     return {t["token"]: int(t["n"]) for t in (tokens if tokens is not None else ())}
 
 
-def infer_quality(patterns: DataFrame, rounds: int = ROUNDS) -> Quality:
-    """Expectation-maximisation over all claim patterns; each round is one pass, of which a row for each source returns."""
+def expected(pdf: pd.DataFrame, quality: Quality) -> np.ndarray:
+    """E-step over claim patterns: expected counts by source as :meth:`Quality.learn` takes them; the last row has the facts."""
+    sums = np.zeros((SOURCES + 1, 4))
+    if not len(pdf):
+        return sums
+    lengths = pdf["sources"].map(len).to_numpy()
+    source, yes, no = (np.concatenate([np.asarray(x) for x in pdf[c]]).astype(t) for c, t in (("sources", np.int64), ("yes", float), ("no", float)))
+    n, of = pdf["n"].to_numpy(dtype=float), np.repeat(np.arange(len(pdf)), lengths)
+    up, down = quality.weights()
+    odds = np.log(quality.true / (1 - quality.true)) + np.bincount(of, yes * up[source] + no * down[source], len(pdf))
+    p = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+    true, false = (n * p)[of], (n * (1 - p))[of]
+    for k, weight in enumerate((yes * true, no * true, yes * false, no * false)):
+        sums[:, k] = np.bincount(source, weight, SOURCES + 1)
+    sums[-1] = (n * p).sum(), n.sum(), 0, 0
+    return sums
+
+
+def infer_quality(patterns: DataFrame) -> Quality:
+    """Expectation-maximisation over all claim patterns until it settles; each round is one pass that returns a row a source."""
     quality = Quality()
-    for _ in range(rounds):
+    for _ in range(ROUNDS):
         now = quality
 
         def expect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums = np.zeros((len(SOURCES) + 1, 4))
-            for pdf in batches:
-                for pattern, n in zip(pdf["pattern"], pdf["n"]):
-                    claims = {s: (a, b) for s, a, b in json.loads(pattern)}
-                    p = now.probability(claims)
-                    for s, (yes, no) in claims.items():
-                        sums[s] += n * np.array([yes * p, no * p, yes * (1 - p), no * (1 - p)])
-                    sums[-1] += n * np.array([p, 1.0, 0.0, 0.0])
-            yield pd.DataFrame({"source": np.arange(len(sums)), "a": sums[:, 0], "b": sums[:, 1], "c": sums[:, 2], "d": sums[:, 3]})
+            sums = sum((expected(pdf, now) for pdf in batches), np.zeros((SOURCES + 1, 4)))
+            at = np.flatnonzero(sums.any(axis=1))
+            yield pd.DataFrame({"source": at, **{c: sums[at, k] for k, c in enumerate("abcd")}})
 
         rows = patterns.mapInPandas(expect, "source int, a double, b double, c double, d double").groupBy("source").agg(*(F.sum(c).alias(c) for c in "abcd")).collect()
-        sums = np.zeros((len(SOURCES) + 1, 4))
+        sums = np.zeros((SOURCES + 1, 4))
         for r in rows:
             sums[r["source"]] = [r[c] for c in "abcd"]
-        quality = Quality()
-        quality.learn(sums[:-1], sums[-1, 0], sums[-1, 1])
+        if quality.learn(sums[:-1], sums[-1, 0], sums[-1, 1]) < SETTLED:
+            break
     return quality
 
 
-def judge(members: list[tuple[Name, float]], seen: dict[str, int], quality: Quality) -> dict[str, dict[str, float]]:
+def judge(members: list[tuple[Name, float, str | None]], seen: dict[str, int], quality: Quality) -> dict[str, dict[str, float]]:
     """field -> value -> probability of being true."""
     out: dict[str, dict[str, float]] = defaultdict(dict)
     for (field, value), claims in facts_of(members, seen).items():
@@ -152,67 +200,42 @@ def judge(members: list[tuple[Name, float]], seen: dict[str, int], quality: Qual
     return out
 
 
-def _best(values: dict[str, float], rows: dict[str, float]) -> str:
-    return max(values, key=lambda v: (round(values[v], 6), rows.get(v, 0), v)) if values else ""
+def held_true(truth: dict[str, dict[str, float]]) -> dict[str, set[str]]:
+    """field -> every value judged true: probable itself, and no rival is more probable."""
+    return {f: {v for v, p in values.items() if p >= TRUE_FROM and all(q <= p + 1e-9 for x, q in values.items() if rivals(f, v, x))} for f, values in truth.items()}
 
 
-def choose(ids: list[int], members: list[tuple[Name, float]], seen: dict[str, int], quality: Quality) -> tuple[int, dict[str, dict[str, float]]]:
-    """(place of the surviving member, judged values).
+def choose(ids: list[int], members: list[tuple[Name, float, str | None]], seen: dict[str, int], quality: Quality) -> tuple[int, dict[str, set[str]]]:
+    """(place of the surviving member, values held true).
 
-    A member is better if nothing it states is misspelt; then if it says more of what the group knows (first name rather than
-    nickname or initial, middle name or initial, suffix, every word, both halves of a double surname); then if it is
-    written plainly with nothing added; then if more evidence rows have it; last, if its id is lower.
+    Field by field, the values the model holds true are what the group knows. The surviving member states the fewest values
+    not held true and, of those, is worth most by the true ones; equals are told apart by having nothing added to the plain
+    form, then by evidence rows, then by the lower id.
     """
-    truth = judge(members, seen, quality)
-    said = [claims_of(n) for n, _ in members]
-    rows: dict[str, dict[str, float]] = defaultdict(lambda: defaultdict(float))
-    for (_, w), s in zip(members, said):
-        for field, values in s.items():
-            for v in values:
-                rows[field][v] += w
-    double = {v for v in truth["surname"] if "-" in v}
-    right_surname = _best({v: p for v, p in truth["surname"].items() if not double or v in double}, rows["surname"])
-    right_given = _best(truth["given"], rows["given"])
-    whole = {v: p for v, p in truth["middle"].items() if len(v) > 1}
-    right_words = _best(truth["words"], rows["words"])
+    known = held_true(judge(members, seen, quality))
 
     def score(i: int) -> tuple:
-        n, w = members[i]
-        wrong = fullness = 0
-        if n.kind == "person":
-            halves = right_surname.split()[-1:] and right_surname.split()[-1].split("-")
-            part = core(n.surname) in {fold(h) for h in halves or ()}
-            same = n.surname == right_surname
-            # A half is spelt rightly if it is exactly one of the halves.
-            wrong += not same and not (part and n.surname.split()[-1:] and n.surname.split()[-1] in (halves or ()))
-            fullness += 3 if "-" not in right_surname or "-" in n.surname else 1
-            if n.given:
-                wrong += n.given != right_given and (alike(fold(n.given), fold(right_given)) or not formal_names(n) & {fold(right_given)})
-            fullness += 4 if n.given else 2 if n.nickname else 1 if n.initial else 0
-            if n.middle:
-                spelt = len(n.middle[0]) > 1
-                if spelt and len(whole) > 1:
-                    wrong += n.middle[0] != _best(whole, rows["middle"])
-                fullness += 2 if spelt else 1
-            fullness += bool(n.suffix)
-        elif n.kind == "organisation":
-            words = " ".join(n.words)
-            wrong += bool(right_words) and words != right_words
-            fullness += 4 if "abbreviated" not in n.style else 2
-        elif n.kind == "nobody":
-            wrong += 9
-        return (-wrong, fullness, -len(n.style), w, -ids[i])
-
-    return max(range(len(members)), key=score), truth
+        n, w, _ = members[i]
+        said = claims_of(n)
+        wrong = sum(v not in known[f] for f, values in said.items() for v in values)
+        worth = sum(WORTH[f] for f, values in said.items() for v in values & known[f])
+        if n.kind == "person" and not n.given:
+            worth += NICKNAME if n.nickname else INITIAL if n.initial else 0
+        if "abbreviated" in n.style:
+            worth += ABBREVIATED
+        return (-wrong, n.kind != "nobody", worth, -len(n.style), w, -ids[i])
+
+    return max(range(len(members)), key=score), known
 
 
 def _groups(clusters: DataFrame, names: DataFrame, evidence: DataFrame, analyses: DataFrame) -> DataFrame:
-    """(cluster_id, run_id, members array<struct<name_id, name, rows, mentions>>, tokens) of groups with several members."""
+    """(cluster_id, run_id, members array<struct<name_id, name, rows, mentions, origin>>, tokens) of groups with several members."""
     listed = clusters.where("cluster_id is not null").groupBy("cluster_id").agg(F.max("run_id").alias("run_id"), F.first("member_name_ids").alias("member_name_ids"), F.first("member_names").alias("member_names"))
     listed = listed.where(F.size(F.filter(F.array_distinct("member_name_ids"), lambda x: x.isNotNull())) > 1)
     members = listed.select("cluster_id", "run_id", F.explode(F.arrays_zip("member_name_ids", F.coalesce("member_names", F.array().cast("array<string>")).alias("member_names"))).alias("m"))
     members = members.select("cluster_id", "run_id", F.col("m.member_name_ids").alias("name_id"), F.col("m.member_names").alias("listed")).where("name_id is not null").groupBy("cluster_id", "run_id", "name_id").agg(F.max("listed").alias("listed"))
-    own = drop_repeats(names.select("name_id", "name_string", "mentions").where("name_id is not null"), ["name_id"])
+    origin = F.col("origin").cast("string") if "origin" in names.columns else F.lit(None).cast("string").alias("origin")
+    own = drop_repeats(names.select("name_id", "name_string", "mentions", origin).where("name_id is not null"), ["name_id"])
     members = members.join(own, "name_id", "left").withColumn("name", F.coalesce("name_string", "listed"))
 
     trim = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -225,7 +248,7 @@ def _groups(clusters: DataFrame, names: DataFrame, evidence: DataFrame, analyses
     corpus = own.select(token).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     used = members.select("cluster_id", F.explode(F.array_distinct(F.split(F.lower("name"), r"(?U)[^\w']+"))).alias("token")).distinct().join(corpus, "token").groupBy("cluster_id").agg(F.collect_list(F.struct("token", "n")).alias("tokens"))
     # As long as the member list of the cluster's own row.
-    grouped = counted.groupBy("cluster_id").agg(F.max("run_id").alias("run_id"), F.sort_array(F.collect_list(F.struct("name_id", "name", "rows", "mentions"))).alias("members"))
+    grouped = counted.groupBy("cluster_id").agg(F.max("run_id").alias("run_id"), F.sort_array(F.collect_list(F.struct("name_id", "name", "rows", "mentions", "origin"))).alias("members"))
     return grouped.join(used, "cluster_id", "left")
 
 
@@ -233,25 +256,26 @@ def surviving_names(clusters: DataFrame, names: DataFrame, evidence: DataFrame,
     """The best member of each group of at least two different member_name_ids, and what the group is judged to know.
 
     Columns: cluster_id, name_id, representative_name, n_members, evidence_rows (of the representative), mentions (largest
-    recorded), given_names, middle_names, surnames, suffixes, organisation_names (every value judged true).
+    recorded), given_names, middle_names, surnames (halves), suffixes, organisation_names (words): every value held true.
 
-    Ways of writing are sources; their sensitivity and specificity are inferred together with the truth of each stated value
-    by expectation-maximisation over all groups. Groups with fewer different non-null ids are left out; members without a
-    record take the listed name; null names can't be chosen before others; repeats of a row, record or evidence row count
-    once; the stored representative plays no part.
+    A source is a recorder (``origin`` of name_records, where there is one) in one way of writing; sensitivity and
+    specificity of all sources are inferred together with the truth of each stated value by expectation-maximisation over all
+    groups until nothing moves. Groups with fewer different non-null ids are left out; members without a record take the
+    listed name; null names can't be chosen before others; repeats of a row, record or evidence row count once; the stored
+    representative plays no part.
     """
     groups = cut_lineage(_groups(clusters, names, evidence, analyses))
-    patterns = cut_lineage(groups.select("members", "tokens").mapInPandas(_patterns, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")))
-    quality = infer_quality(patterns)
+    patterns = groups.select("members", "tokens").mapInPandas(_patterns, _PATTERN + ", n long").groupBy("sources", "yes", "no").agg(F.sum("n").alias("n"))
+    quality = infer_quality(cut_lineage(patterns))
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for cluster, group, tokens in zip(pdf["cluster_id"], pdf["members"], pdf["tokens"]):
-                at, truth = choose([int(m["name_id"]) for m in group], _members(group), _seen(tokens), quality)
+                at, known = choose([int(m["name_id"]) for m in group], _members(group), _seen(tokens), quality)
                 best = group[at]
-                kept = [sorted(v for v, p in truth[f].items() if p >= TRUE_FROM) for f in ("given", "middle", "surname", "suffix", "words")]
                 noted = [int(m["mentions"]) for m in group if m["mentions"] is not None]
+                kept = [sorted(known.get(f, ())) for f in ("given", "middle", "surname", "suffix", "words")]
                 out.append((cluster, int(best["name_id"]), best["name"], len(group), int(best["rows"]), max(noted, default=None), *kept))
             if out:
                 yield pd.DataFrame(out, columns=["cluster_id", "name_id", "representative_name", "n_members", "evidence_rows", "mentions", "given_names", "middle_names", "surnames", "suffixes", "organisation_names"]).astype({"mentions": "Int64"})
