@@ -2,7 +2,7 @@ import random
 from itertools import combinations
 
 from vellumflow.llm import linking
-from vellumflow.llm.linking import BANDS, ROWS, band_hashes, block_families, link_names, variant_pairs
+from vellumflow.llm.linking import BANDS, ROWS, band_hashes, block_families, edits, inner, link_names, linked_names, variant_pairs
 from vellumflow.llm.names import alike, one_slip, parse
 
 SCHEMA = "run_id long, name_id long, name_string string, mentions int, cluster string, block string"
@@ -109,3 +109,49 @@ def test_chains_over_slices_are_one_family(spark, monkeypatch):
     for size in (2_000, 1):
         monkeypatch.setattr(linking, "SLICE_BLOCKS", size)
         assert {(r.block, r.family) for r in block_families(df).collect()} == {("p " + w, "p karlholta") for w in words[1:]}
+
+
+def test_pairs_of_a_large_cluster_come_in_shares(spark):
+    df, ids = table(spark, [1])
+    none = spark.createDataFrame([], "run_id long")
+    whole = sorted(tuple(r) for r in variant_pairs(df, none).collect())
+    assert sorted(tuple(r) for r in variant_pairs(df, none, share=2).collect()) == whole
+    links = {r.name_id: r.n_links for r in linked_names(df).collect()}
+    assert all(links[a] > 0 and links[b] > 0 for a, b in whole) and sum(links.values()) == 2 * len(whole)
+
+
+def test_edits_and_the_inner_measure():
+    assert [edits(*p) for p in (("oskoyd", "oskoyd"), ("oskoyd", "osskoyd"), ("oskoyd", "oksoyd"), ("abcd", "badc"), ("", "ab"), ("karl", "carla"))] == [0, 1, 1, 2, 2, 2]
+    assert inner("oskoyd", "oskoyd") == 1 > inner("mueller", "muller") > inner("oskoyd", "osskoyd") > inner("anna", "anne") > inner("karl", "carla")
+    assert inner("jim", "tim") == 0 and inner("zoe", "zoee") == 0.75
+
+
+def similarity(a, b):
+    return linking.person_similarity(*(linking._from_key(linking.node_key(parse(x))) for x in (a, b)))
+
+
+def test_similarity_rejects_what_differs_too_much():
+    """Monge-Elkan: the mean decides between names whose parts each look alike."""
+    one, two, third = similarity("Andrew Oskoyd", "Andrwe Oskoyd"), similarity("Andrew Oskoyd", "Andrwe Oskyod"), similarity("Andrew T. Oskoyd", "Andrwe T. Oskyod")
+    assert one >= linking.VERIFIED > two and third > two
+    assert similarity("Andrew Oskoyd, Jr.", "Andrew Oskoyd, Sr.") == similarity("A. Q. Oskoyd", "A. R. Oskoyd") == similarity("Karl Oskoyd", "Carla Oskoyd") == 0
+    assert similarity("A. Oskoyd", "Andrew Oskoyd") > similarity("A. Oskoyd", "Andrew Osskoyd") >= linking.VERIFIED
+
+
+def test_threshold_sweep(monkeypatch):
+    """A higher threshold loses pairs, a lower one joins names two slips apart."""
+    strings = ["Andrew Oskoyd", "Andrwe Oskoyd", "Andrwe Oskyod", "Bertha Oskoyd", "Bertah Oskoyd"]
+    rows, found = [(linking.node_key(parse(s)), 9 - i) for i, s in enumerate(strings)], []
+    for threshold in (0.7, linking.VERIFIED, 0.99):
+        monkeypatch.setattr(linking, "VERIFIED", threshold)
+        cluster = linking._family(rows)
+        found.append({(i, j) for i, j in combinations(range(len(rows)), 2) if cluster[i] == cluster[j]})
+    assert found[0] > found[1] > found[2] == set() and {(0, 1), (3, 4)} <= found[1]
+
+
+def test_half_a_double_surname_in_two_writings(spark):
+    """Clusters of a half-name, not only single nodes, go to the one double surname that fits."""
+    strings = ["Ann Smithson-Jonas", "Ann Smithson", "A. Smithson", "Paul Jonas", "P. Jonas"]
+    df = spark.createDataFrame([(1, i, s, 1, "x", "x") for i, s in enumerate(strings)], SCHEMA)
+    cluster = {r.name_id: r.cluster for r in link_names(df).collect()}
+    assert cluster[0] == cluster[1] == cluster[2] != cluster[3] == cluster[4]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -20,8 +21,12 @@ from vellumflow.plans.tables import cut_lineage, drop_repeats
 Q, ROWS, SIMILARITY, RECALL = 2, 2, 0.4, 0.99
 #: Different blocks a task compares; a run with more is spread over slices by band.
 SLICE_BLOCKS = 2_000
-#: Monge-Elkan similarity two strings of one entity reach.
-VERIFIED = 0.8
+#: Monge-Elkan similarity two strings of one entity reach, and what each of their parts reaches by itself.
+VERIFIED, PART = 0.86, 0.5
+#: Inner similarities of parts that are no two spellings: nothing to compare with, an initial, a nickname.
+UNSAID, HALF, INITIAL, NICKNAME, SPELT_OUT = 0.95, 0.8, 0.9, 0.95, 0.97
+#: Strings of a cluster that one task pairs with the whole cluster.
+PAIRED = 1_000
 _SEED = 20_011
 
 
@@ -68,82 +73,82 @@ def _from_key(key: str) -> dict:
     return {"surname": surname, "given": given, "formal": formal, "initials": initials, "whole": bool(given or nickname), "middle": middle.split(), "suffix": suffix}
 
 
-def _first_name(a: dict, b: dict) -> float | None:
-    """Similarity of two first names: 1 the same, less where one is a form of the other, none where they differ."""
+def edits(a: str, b: str) -> int:
+    """Letters added, dropped, replaced or swapped with their neighbour to make ``b`` of ``a``."""
+    before, row = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, before, row = before, row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y)))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                row[j] = min(row[j], last[j - 2] + 1)
+    return row[-1]
+
+
+@lru_cache(200_000)
+def inner(a: str, b: str) -> float:
+    """Character similarity of two folded words: a second slip costs three times the first, and short words bear fewer."""
+    if a == b:
+        return 1.0
+    if loose(a) == loose(b):
+        return SPELT_OUT
+    shorter, longer = sorted((len(a), len(b)))
+    return max(0.0, 1 - edits(a, b) ** 2 / longer) if shorter > 2 and longer > 3 else 0.0
+
+
+def _first_name(a: dict, b: dict) -> float:
+    """Similarity of two first names, of all the forms they can stand for."""
     if not a["initials"] or not b["initials"]:
-        return 0.85
+        return UNSAID
     if a["whole"] and b["whole"]:
         if a["given"] and a["given"] == b["given"]:
             return 1.0
-        if a["formal"] & b["formal"]:
-            return 0.95
-        if any(loose(x) == loose(y) for x in a["formal"] for y in b["formal"]):
-            return 0.97
-        if any(alike(x, y) for x in a["formal"] for y in b["formal"]):
-            return 0.94
-        return None
-    return 0.9 if a["initials"] & b["initials"] else None
+        best = max((inner(x, y) for x in a["formal"] for y in b["formal"]), default=0.0)
+        return min(best, NICKNAME) if not (a["given"] and b["given"]) else best
+    return INITIAL if a["initials"] & b["initials"] else 0.0
 
 
-def _middle_names(a: list[str], b: list[str]) -> float | None:
+def _middle_names(a: list[str], b: list[str]) -> list[float]:
     if not a or not b:
-        return 0.95 if a or b else 1.0
-    best = 1.0
-    for x, y in zip(a, b):
-        if x[0] != y[0] or len(x) > 1 and len(y) > 1 and not alike(x, y):
-            return None
-        if len(x) != len(y):
-            best = 0.97
-    return best
+        return [UNSAID] if a or b else []
+    return [float(x == y) if len(x) == len(y) == 1 else SPELT_OUT * (x[0] == y[0]) if 1 in (len(x), len(y)) else inner(x, y) for x, y in zip(a, b)]
 
 
-def _surname(a: str, b: str) -> float | None:
-    if a == b:
-        return 1.0
-    if loose(a) == loose(b):
-        return 0.97
-    if alike(a, b):
-        return 0.95
-    if "-" in a or "-" in b:
-        x, y = a.split("-"), b.split("-")
-        if len(x) != len(y) and (alike(x[0], y[0]) or len(x) == 1 and alike(a, y[-1]) or len(y) == 1 and alike(b, x[-1])):
-            return 0.9
-        if len(x) == len(y) and all(alike(p, q) for p, q in zip(x, y)) or alike("".join(x), "".join(y)):
-            return 0.93
-    return None
+@lru_cache(200_000)
+def _surname(a: str, b: str) -> tuple[float, ...]:
+    """Similarities of the halves of two surnames; a missing half counts as HALF."""
+    x, y = a.split("-"), b.split("-")
+    whole = inner("".join(x), "".join(y))
+    if len(x) == len(y):
+        each = tuple(inner(p, q) for p, q in zip(x, y))
+        return each if min(each) >= PART or whole < PART else (whole,)
+    short, long = sorted((x, y), key=len)
+    best = max(inner(short[0], long[0]), inner(short[-1], long[-1])) if len(short) == 1 else min(inner(p, q) for p, q in zip(short, long))
+    return (best, HALF) if best >= whole else (whole,)
 
 
-def person_similarity(a: dict, b: dict) -> float | None:
-    """Monge-Elkan similarity over the parts both have; none where a part tells the two apart.
+def person_similarity(a: dict, b: dict) -> float:
+    """Monge-Elkan similarity: the mean, over the parts either name has, of each part's similarity to its best counterpart.
 
-    Each part is compared with its counterpart by the inner measure above, a missing one costs little; the result is the
-    mean. Given name, middle initial and suffix, where both have them, must agree.
+    A part the other leaves out costs little. Where a part is nothing like its counterpart (another first name, middle
+    initial or suffix) the two are told apart, whatever the mean.
     """
-    if a["suffix"] and b["suffix"] and a["suffix"] != b["suffix"]:
-        return None
-    first, middle, last = _first_name(a, b), _middle_names(a["middle"], b["middle"]), _surname(a["surname"], b["surname"])
-    if first is None or middle is None or last is None:
-        return None
-    if first == 0.94 and last == 0.95 and not (a["middle"] and b["middle"]):
-        return None  # two slips at once need a third part to agree
-    return (first + middle + last + (1.0 if a["suffix"] == b["suffix"] else 0.97)) / 4
-
-
-def organisation_similarity(a: str, b: str) -> float | None:
-    """Monge-Elkan similarity of two organisations' words: every word must be alike."""
+    parts = [_first_name(a, b), *_middle_names(a["middle"], b["middle"]), *_surname(a["surname"], b["surname"])]
+    if a["suffix"] or b["suffix"]:
+        parts.append(1.0 if a["suffix"] == b["suffix"] else 0.0 if a["suffix"] and b["suffix"] else SPELT_OUT)
+    return sum(parts) / len(parts) if min(parts) >= PART else 0.0
+
+
+def organisation_similarity(a: str, b: str) -> float:
+    """Monge-Elkan similarity of two organisations' words, none of which may lack a counterpart."""
     x, y = a[2:].split(), b[2:].split()
     if len(x) != len(y):
-        return None
-    total = 0.0
-    for w in x:
-        best = max((1.0 if w == v else 0.9 if alike(w, v) else 0.0) for v in y)
-        if best == 0.0:
-            return None
-        total += best
-    return total / len(x)
+        return 0.0
+    best = [max(inner(w, v) for v in y) for w in x]
+    return sum(best) / len(best) if min(best) >= PART else 0.0
 
 
-def star_clusters(nodes: list[tuple[str, int]], similarity: Callable[[int, int], float | None], rank: Callable[[int], tuple], absorb: Callable[[int, int], None] | None = None, near: Callable[[int], list] | None = None, key: Callable[[int], object] = lambda i: None) -> list[int]:
+def star_clusters(nodes: list[tuple[str, int]], similarity: Callable[[int, int], float], rank: Callable[[int], tuple], absorb: Callable[[int, int], None] | None = None, near: Callable[[int], list] | None = None, key: Callable[[int], object] = lambda i: None) -> list[int]:
     """Star clustering: places of the centres, one for each node.
 
     ``near`` gives the keys of all nodes that can be similar to a node at all; centres of other keys are not compared with it.
@@ -156,7 +161,7 @@ def star_clusters(nodes: list[tuple[str, int]], similarity: Callable[[int, int],
     centres: dict[object, list[tuple[int, int]]] = {}
     at = list(range(len(nodes)))
     for k, i in enumerate(order):
-        found = sorted(((s, -m, c) for x in (near(i) if near else [None]) for m, c in centres.get(x, ()) if (s := similarity(c, i)) is not None and s >= VERIFIED), reverse=True)
+        found = sorted(((s, -m, c) for x in (near(i) if near else [None]) for m, c in centres.get(x, ()) if (s := similarity(c, i)) >= VERIFIED), reverse=True)
         if not found:
             centres.setdefault(key(i), []).append((k, i))
         elif len(found) == 1 or found[0][0] > found[1][0] + 1e-9:
@@ -166,7 +171,7 @@ def star_clusters(nodes: list[tuple[str, int]], similarity: Callable[[int, int],
     return at
 
 
-def join_bridged(at: list[int], similarity: Callable[[int, int], float | None], agree: Callable[[int, int], bool], near: Callable[[int], list] | None = None, key: Callable[[int], object] = lambda i: None) -> list[int]:
+def join_bridged(at: list[int], similarity: Callable[[int, int], float], agree: Callable[[int, int], bool], near: Callable[[int], list] | None = None, key: Callable[[int], object] = lambda i: None) -> list[int]:
     """``at`` with clusters joined whose centres are spelt too differently, but one of which fits a member of the other.
 
     A centre that fits members of several clusters joins none of them; ``agree`` tells whether two centres can be one at all.
@@ -186,7 +191,7 @@ def join_bridged(at: list[int], similarity: Callable[[int, int], float | None],
         fits: set[int] = set()
         for x in near(c) if near else [None]:
             for m in members.get(x, ()):
-                if at[m] != c and at[m] not in fits and (s := similarity(m, c)) is not None and s >= VERIFIED:
+                if at[m] != c and at[m] not in fits and similarity(m, c) >= VERIFIED:
                     fits.add(at[m])
         if len(fits) == 1 and agree(b := fits.pop(), c) and size[b] > 1:
             low, high = sorted((root(b), root(c)), key=lambda x: (size[x], -x))
@@ -215,13 +220,12 @@ def _family(rows: list[tuple[str, int]]) -> list[str]:
 
     own = [dict(p) for p in parts]
     surnames = sorted({p["surname"] for p in parts})
-    near = {a: [b for b in surnames if _surname(b, a) is not None] for a in surnames}
+    near = {a: [b for b in surnames if min(_surname(b, a)) >= PART] for a in surnames}
     by_surname = (lambda i: near[own[i]["surname"]], lambda i: own[i]["surname"])
 
     def agree(b: int, c: int) -> bool:
         """Only the surname keeps the two apart, and their first names are not one slip apart as well."""
-        first = _first_name(parts[b], parts[c])
-        return first is not None and first != 0.94 and person_similarity(parts[b], parts[c] | {"surname": parts[b]["surname"]}) is not None
+        return _first_name(parts[b], parts[c]) >= INITIAL and person_similarity(parts[b], parts[c] | {"surname": parts[b]["surname"]}) >= VERIFIED
 
     at = star_clusters(rows, lambda c, i: person_similarity(parts[c], own[i]), rank, absorb, *by_surname)
     return [rows[c][0] for c in join_bridged(at, lambda m, c: person_similarity(own[m], own[c]), agree, *by_surname)]
@@ -368,19 +372,18 @@ def _cluster_families(placed: DataFrame) -> DataFrame:
 
 
 def _double_surnames(placed: DataFrame, home: DataFrame) -> DataFrame:
-    """Nodes with half of a double surname that found no company at home, given to the double's cluster they fit."""
+    """Clusters named by half of a double surname given to the double's cluster that fits their centre, if just one does."""
     double = placed.where("block like 'p %-%'").select("run_id", "node", F.explode(F.array(F.split(F.substring("block", 3, 1_000_000), "-")[0], F.element_at(F.split(F.substring("block", 3, 1_000_000), "-"), -1))).alias("half"))
     double = double.join(home, ["run_id", "node"]).select("run_id", F.concat(F.lit("p "), "half").alias("block"), F.col("cluster").alias("theirs")).distinct()
-    alone = home.join(home.groupBy("run_id", "cluster").count().where("count = 1").drop("count"), ["run_id", "cluster"], "left_semi")
-    single = placed.where("block like 'p %' and block not like '%-%'").join(alone.select("run_id", "node"), ["run_id", "node"], "left_semi")
+    single = placed.where("block like 'p %' and block not like '%-%'").join(home.where("node = cluster"), ["run_id", "node"], "left_semi")
 
     @F.pandas_udf("boolean")
     def fits(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([person_similarity(_from_key(x), _from_key(y)) is not None for x, y in zip(a, b)], dtype=bool)
+        return pd.Series([person_similarity(_from_key(x), _from_key(y)) >= VERIFIED for x, y in zip(a, b)], dtype=bool)
 
-    found = single.select("run_id", "node", "block").join(double, ["run_id", "block"]).where(fits("theirs", "node"))
-    given = found.groupBy("run_id", "node").agg(F.min("theirs").alias("theirs"), F.count_distinct("theirs").alias("n")).where("n = 1").drop("n")
-    return home.join(given, ["run_id", "node"], "left").select("run_id", "node", F.coalesce("theirs", "cluster").alias("cluster"))
+    found = single.select("run_id", F.col("node").alias("cluster"), "block").join(double, ["run_id", "block"]).where("theirs <> cluster").where(fits("theirs", "cluster"))
+    given = found.groupBy("run_id", "cluster").agg(F.min("theirs").alias("theirs"), F.count_distinct("theirs").alias("n")).where("n = 1").drop("n")
+    return home.join(given, ["run_id", "cluster"], "left").select("run_id", "node", F.coalesce("theirs", "cluster").alias("cluster"))
 
 
 def _acronyms(placed: DataFrame, linked: DataFrame) -> DataFrame:
@@ -391,10 +394,20 @@ def _acronyms(placed: DataFrame, linked: DataFrame) -> DataFrame:
     return linked.join(given, ["run_id", "node"], "left").select("run_id", "node", F.coalesce("theirs", "cluster").alias("cluster"))
 
 
-def variant_pairs(names: DataFrame, known: DataFrame) -> DataFrame:
-    """(name_id_a, name_id_b), a < b, of all strings of one entity, for the runs that have no row in ``known`` clusters."""
+def linked_names(names: DataFrame) -> DataFrame:
+    """(run_id, name_id, cluster, n_links): every string that names somebody, its cluster and how many others are in it."""
+    linked = cut_lineage(link_names(names))
+    sizes = linked.groupBy("run_id", "cluster").agg((F.count(F.lit(1)) - 1).alias("n_links"))
+    return linked.join(sizes, ["run_id", "cluster"]).select("run_id", "name_id", "cluster", "n_links")
+
+
+def variant_pairs(names: DataFrame, known: DataFrame, share: int = PAIRED) -> DataFrame:
+    """(name_id_a, name_id_b), a < b, of all strings of one entity, for the runs that have no row in ``known`` clusters.
+
+    A cluster is paired in shares of ``share`` strings, each of which meets the whole cluster in a task of its own.
+    """
     runs = known.select("run_id").where("run_id is not null").distinct()
-    linked = cut_lineage(link_names(names.join(runs, "run_id", "left_anti")))
-    a = linked.select("run_id", "cluster", F.col("name_id").alias("name_id_a"))
-    b = linked.select("run_id", "cluster", F.col("name_id").alias("name_id_b"))
-    return a.join(b, ["run_id", "cluster"]).where("name_id_a < name_id_b").select("name_id_a", "name_id_b")
+    linked = linked_names(names.join(runs, "run_id", "left_anti")).where("n_links > 0").withColumn("shares", F.ceil((F.col("n_links") + 1) / share).cast("int"))
+    a = linked.select("run_id", "cluster", F.pmod(F.xxhash64("name_id"), "shares").cast("int").alias("share"), F.col("name_id").alias("name_id_a"))
+    b = linked.select("run_id", "cluster", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("name_id").alias("name_id_b"))
+    return a.join(b, ["run_id", "cluster", "share"]).where("name_id_a < name_id_b").select("name_id_a", "name_id_b")

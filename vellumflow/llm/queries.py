@@ -66,8 +66,8 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def p3_clusters(spark: SparkSession, directory: str) -> DataFrame:
-    """Every name string that names somebody, of all runs, with its cluster."""
-    return linking.link_names(_names(spark, directory))
+    """Every name string that names somebody, of all runs, with its cluster and how many others are in it."""
+    return linking.linked_names(_names(spark, directory))
 
 
 def _names(spark: SparkSession, directory: str) -> DataFrame:
