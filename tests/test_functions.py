@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellumflow.functions import people, text
-from vellumflow.functions.dates import best_date, best_date_label, extract_dates, time_period
+from vellumflow.functions.dates import best_date_label, extract_dates, time_period
 
 BEST = [
     (["October 7, 1960"], "", (1960, 10, 7), "October 7, 1960", "October 7, 1960"),
@@ -25,11 +25,6 @@ BEST = [
 ]
 
 
-@pytest.mark.parametrize("values,fallback,key,label,badge", BEST)
-def test_best_date(values, fallback, key, label, badge):
-    assert best_date(values, fallback) == (key, label, badge)
-
-
 def one(spark, value, kind, f):
     return spark.createDataFrame([(value,)], f"x {kind}").select(f("x").alias("y")).first().y
 
@@ -40,6 +35,9 @@ def test_date_columns(spark):
     assert got == [(*k, label, badge) for _, _, k, label, badge in BEST]
     assert [tuple(x) for x in one(spark, "In late 1961, May 1960", "string", extract_dates)] == [(1960, 5, 1, "May 1960"), (1961, 10, 1, "late 1961")]
     assert one(spark, None, "string", extract_dates) == []
+    odd = "Sept. 5th, 1999 sep 1987 SEPTEMBER\xa03, 1990, LATE  1960; Mays 1999, é1999 x1999 19991 1899 1799 Oct 0 2000 march 99, 1900"
+    assert [x.label for x in one(spark, odd, "string", extract_dates)] == ["Sept 5, 1999", "September 3, 1990", "Oct 0, 2000", "March 99, 1900", "Sep 1987", "late 1960", "1999", "1899"]
+    assert one(spark, "May 1960 " * 50_000, "string", lambda x: F.size(extract_dates(x))) == 50_000
     assert one(spark, "a", "string", lambda x: time_period(x, F.lit("b"))) == "a to b"
 
 

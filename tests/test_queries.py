@@ -5,12 +5,12 @@ import os
 
 import pytest
 
-from vellumflow.plans import archive, preparation
+from vellumflow.plans import archive, ledger, preparation
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-QUERIES = archive.QUERIES | preparation.QUERIES
-ORACLES = archive.ORACLES | preparation.ORACLES
+QUERIES = archive.QUERIES | ledger.QUERIES | preparation.QUERIES
+ORACLES = archive.ORACLES | ledger.ORACLES | preparation.ORACLES
 
 
 def plain(x):

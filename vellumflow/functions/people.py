@@ -86,10 +86,22 @@ def middles_conflict(a: Column, b: Column) -> Column:
     return F.coalesce(a["middle_initial"] != b["middle_initial"], F.lit(False))
 
 
-def linked(a: Column, b: Column, similarity: Column) -> Column:
-    """Whether two parsed names are linked: shared period words can never change the outcome and are left out."""
+def linked(a: Column, b: Column) -> Column:
+    """Whether two parsed names whose surnames are similar are linked: shared period words can never change the outcome and are
+    left out."""
     enough = (a["surname"] == b["surname"]) | (a["first_token"] == b["first_token"]) | (a["middle_initial"].isNotNull() & b["middle_initial"].isNotNull())
-    return (similarity >= SIMILAR) & first_names_agree(a, b) & ~middles_conflict(a, b) & enough
+    return first_names_agree(a, b) & ~middles_conflict(a, b) & enough
+
+
+# Why two names are linked.
+SAME = "same surname and matching first name"
+INITIALS = "same surname and compatible initials"
+NEARLY = "similar surname and compatible initials"
+
+
+def link_reason(a: Column, b: Column) -> Column:
+    """Why two linked names are linked."""
+    return F.when(a["surname"] != b["surname"], NEARLY).when(a["first_token"].eqNullSafe(b["first_token"]), SAME).otherwise(INITIALS)
 
 
 def periods_overlap(a: Column | str, b: Column | str) -> Column:

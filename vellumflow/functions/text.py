@@ -1,11 +1,9 @@
-"""Scalar column functions on text, labels, lists and sizes. All stay in the JVM but ``casefold``."""
+"""Scalar column functions on text, labels, lists and sizes. All stay in the JVM."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: White space as Python sees it: Unicode spaces and the four separators of ASCII.
 SPACE = r"(?U)[\s\x{1c}-\x{1f}]"  # the flag holds for the rest of a pattern
@@ -23,15 +21,23 @@ def normalize_whitespace(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(c(x), SPACE + "+", " "))
 
 
-@F.pandas_udf(StringType())
-def casefold(x: pd.Series) -> pd.Series:
-    """Full Unicode case folding; ``lower`` is the same for ASCII and stays in the JVM."""
-    return x.map(lambda s: s.casefold() if isinstance(s, str) else None)
+#: Letters whose folded form is not their lower case, by the rules of Unicode: single letters, and those that become several.
+_ODD = {chr(i): chr(i).casefold() for i in range(0x110000) if chr(i).casefold() != chr(i).lower() and not 0x13A0 <= i <= 0x13FF and not 0xAB70 <= i <= 0xABBF}
+_ONE, _MANY = {k: v for k, v in _ODD.items() if len(v) == 1}, {k: v for k, v in _ODD.items() if len(v) > 1}
+_FOLDS = r"[^\x00-\x7F]"
+
+
+def casefold(x: Column | str) -> Column:
+    """Full Unicode case folding: lower case, but for letters that fold otherwise (Cherokee, which folds upwards, stays lower)."""
+    low = F.lower(F.translate(c(x), "".join(_ONE), "".join(_ONE.values())))
+    pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in _MANY.items()))
+    whole = F.lower(F.aggregate(pairs, F.translate(c(x), "".join(_ONE), "".join(_ONE.values())), lambda acc, p: F.replace(acc, p["k"], p["v"])))
+    return F.when(c(x).rlike("[" + "".join(_MANY) + "]"), whole).when(c(x).rlike(_FOLDS), low).otherwise(F.lower(c(x)))
 
 
 def normalize_question(x: Column | str) -> Column:
     """The key a question is known by."""
-    return F.lower(normalize_whitespace(x))
+    return casefold(normalize_whitespace(x))
 
 
 def slugify(x: Column | str) -> Column:
@@ -96,14 +102,24 @@ def errors_label(failures: Column | str, unanalyzed: Column | str) -> Column:
 
 
 def human_size(n: Column | str) -> Column:
-    """Bytes in the first of B, KB, MB, GB that keeps the number under 1024, with one decimal."""
+    """Bytes in the first of B, KB, MB, GB that keeps the number under 1024, with one decimal; halves go to the even digit."""
     b = c(n).cast("double")
-    return (
-        F.when(b < 1024, F.format_string("%.1f B", b))
-        .when(b < 1024**2, F.format_string("%.1f KB", b / 1024))
-        .when(b < 1024**3, F.format_string("%.1f MB", b / 1024**2))
-        .otherwise(F.format_string("%.1f GB", b / 1024**3))
-    )
+    shown = lambda x, unit: F.format_string(f"%.1f {unit}", F.bround(x, 1))
+    return F.when(b < 1024, shown(b, "B")).when(b < 1024**2, shown(b / 1024, "KB")).when(b < 1024**3, shown(b / 1024**2, "MB")).otherwise(shown(b / 1024**3, "GB"))
+
+
+def thousands(n: Column | str) -> Column:
+    return F.format_number(c(n), 0)
+
+
+def price(n: Column | str) -> Column:
+    """Dollars with two decimals, '?' where unknown."""
+    return F.when(c(n).isNull(), "?").otherwise(F.format_string("$%.2f", c(n)))
+
+
+def limit(n: Column | str) -> Column:
+    """A number with thousands apart, '?' for none and 0."""
+    return F.when(F.coalesce(c(n), F.lit(0)) == 0, "?").otherwise(thousands(n))
 
 
 def document_anchor(name: Column | str, sha: Column | str) -> Column:

@@ -40,6 +40,15 @@ def preferred_path(paths: DataFrame, key: str, path: str) -> DataFrame:
     return paths.where(F.col(key).isNotNull() & F.col(path).isNotNull()).groupBy(key).agg(F.min_by(path, F.struct(F.length(path), F.col(path))).alias(path))
 
 
+def copy_names(paths: DataFrame, key: str, path: str) -> DataFrame:
+    """(key, path, href): where a report's copy of each file lies. Files of one name are told apart by the beginning of their
+    key; the first of them, in order of path, keeps its name."""
+    named = paths.select(key, path, F.regexp_extract(path, "[^/]*$", 0).alias("_name"))
+    first = named.groupBy("_name").agg(F.min(F.struct(path, key)).alias("_first"))
+    plain = F.col(path).eqNullSafe(F.col("_first")[path]) & F.col(key).eqNullSafe(F.col("_first")[key])
+    return named.join(first, "_name").select(key, path, F.concat(F.lit("pdfs/"), F.when(plain, F.col("_name")).otherwise(F.concat(F.substring(key, 1, 12), F.lit("-"), "_name"))).alias("href"))
+
+
 def unique_names(names: Sequence[str]) -> list[str]:
     """Each name as it is, or with _1, _2, ... before its suffix until no earlier one has it. An ordered fold: it runs on the
     driver over the files one report copies."""

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumflow.functions import dates, people, text
+from vellumflow.operators.ordering import number_rows, number_within
 
 
 def is_succeeded(status: str = "status") -> Column:
@@ -26,7 +29,8 @@ def pending(documents: DataFrame, analyses: DataFrame, force: bool = False) -> D
 
 def evidence_report(analyses: DataFrame, evidence: DataFrame) -> DataFrame:
     """Evidence of successful, responsive analyses, with the legacy page column filled in."""
-    chosen = analyses.where(is_succeeded() & is_responsive()).select("analysis_id", "query_id", "document_sha256", "source_filename", F.col("summary").alias("document_summary"))
+    score = [c for c in ("relevance_score",) if c in analyses.columns]
+    chosen = analyses.where(is_succeeded() & is_responsive()).select("analysis_id", "query_id", "document_sha256", "source_filename", F.col("summary").alias("document_summary"), *score)
     pages = F.coalesce("page_start", "page_number").alias("page_start")
     return chosen.join(evidence.select("analysis_id", "evidence_id", "ordinal", pages, "page_end", "summary", "people", "places", "dates"), "analysis_id")
 
@@ -72,19 +76,19 @@ def refresh_synthesis(offline: Column, force: Column, n_pending: Column, stored_
     return F.when(offline, False).when(force | (n_pending > 0) | stored_status.isNull(), True).otherwise(stored_status != "succeeded")
 
 
-def timeline_rows(report: DataFrame) -> DataFrame:
+def timeline_rows(report: DataFrame, more: Sequence[Column | str] = ()) -> DataFrame:
     """Evidence with what a report shows of it: date key and labels, short summary, page label and first person."""
-    best = dates.best_date_label("dates", F.coalesce("summary", "document_summary"))
-    return report.withColumn("_d", best).select(
+    shown = F.coalesce(F.nullif("summary", F.lit("")), "document_summary", F.lit(""))
+    return report.withColumn("_d", dates.best_date_label("dates", shown)).select(
         "query_id", "evidence_id", "analysis_id", "document_sha256", "source_filename", "ordinal", "page_start",
         F.col("_d.y").alias("y"), F.col("_d.m").alias("m"), F.col("_d.d").alias("d"), F.col("_d.date_label").alias("date_label"), F.col("_d.date_badge_label").alias("date_badge_label"),
-        text.truncate_text("summary").alias("brief_summary"), text.page_label("page_start", "page_end").alias("page_label"), text.key_person("people").alias("key_person"), "people",
+        text.truncate_text(shown).alias("brief_summary"), text.page_label("page_start", "page_end").alias("page_label"), text.key_person("people").alias("key_person"), "people", *more,
     )
 
 
 def timeline_order() -> list[Column]:
     """Date, page (unknown last), file, summary, then what makes the order total."""
-    return [F.col("y"), F.col("m"), F.col("d"), F.coalesce("page_start", F.lit(10**9)), F.lower("source_filename"), F.lower("brief_summary"), F.col("source_filename"), F.col("ordinal"), F.col("evidence_id")]
+    return [F.col("y"), F.col("m"), F.col("d"), F.coalesce("page_start", F.lit(10**9)), text.casefold("source_filename"), text.casefold("brief_summary"), F.col("source_filename"), F.col("ordinal"), F.col("evidence_id")]
 
 
 def name_strings(evidence: DataFrame, responsive: DataFrame, by: str) -> DataFrame:
@@ -98,8 +102,10 @@ def name_strings(evidence: DataFrame, responsive: DataFrame, by: str) -> DataFra
     rows = branch(evidence, 0, "evidence_id", ["y", "m", "d", "date_label"]).unionByName(branch(responsive, 1, "analysis_id", none))
     # A note counts where it first stood; so many rows come together before any list is made.
     notes = rows.where("note <> ''").groupBy(by, "name_string", "note").agg(F.min(F.struct("_b", "_id")).alias("at"))
-    five = notes.groupBy(by, "name_string").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("at", "note"))), lambda x: x["note"]), 1, 5).alias("context_notes"))
-    when = F.when(F.col("_b") == 0, F.struct("y", "m", "d", F.lower("date_label")))
+    first = F.row_number().over(Window.partitionBy(by, "name_string").orderBy("at", "note"))
+    few = notes.withColumn("_k", first).where("_k <= 5")
+    five = few.groupBy(by, "name_string").agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "note"))), lambda x: x["note"]).alias("context_notes"))
+    when = F.when(F.col("_b") == 0, F.struct("y", "m", "d", text.casefold("date_label")))
     grouped = rows.groupBy(by, "name_string").agg(
         F.count_if(F.col("_b") == 0).cast("int").alias("mentions"),
         F.sort_array(F.collect_set("source_filename")).alias("source_filenames"),
@@ -124,7 +130,7 @@ def people_index(timeline: DataFrame, mapping: DataFrame, by: str) -> DataFrame:
     names = timeline.select(by, "evidence_id", "y", "m", "d", "date_label", F.explode(text.ordered_distinct("people")).alias("name"))
     mentions = names.join(mapping, [by, "name"], "left").withColumn("person", F.coalesce("canonical", "name"))
     once = mentions.groupBy(by, "person", "evidence_id").agg(F.first("y").alias("y"), F.first("m").alias("m"), F.first("d").alias("d"), F.first("date_label").alias("date_label"), F.collect_set("name").alias("names"))
-    key = F.struct("y", "m", "d", F.lower("date_label"), "evidence_id")
+    key = F.struct("y", "m", "d", text.casefold("date_label"), "evidence_id")
     found = once.groupBy(by, "person").agg(
         F.count(F.lit(1)).alias("mention_count"),
         dates.time_period(F.min_by("date_label", key), F.max_by("date_label", key)).alias("time_period"),
@@ -134,6 +140,46 @@ def people_index(timeline: DataFrame, mapping: DataFrame, by: str) -> DataFrame:
     return found.withColumns({"surname_key": k["surname"], "given_key": k["given"], "anchor": text.person_anchor("person")})
 
 
+def people_mentions(timeline: DataFrame, mapping: DataFrame, by: str) -> DataFrame:
+    """One row for each person of ``by`` and evidence row naming them, numbered in the order of the timeline, with the spellings
+    found in it. A person may have any number of mentions: they are numbered by range, never gathered."""
+    names = timeline.select("*", F.explode(text.ordered_distinct("people")).alias("name"))
+    found = names.join(mapping, [by, "name"], "left").withColumn("person", F.coalesce("canonical", "name"))
+    kept = ("y", "m", "d", "date_label", "page_start", "page_label", "source_filename", "brief_summary", "ordinal")
+    once = found.groupBy(by, "person", "evidence_id").agg(*(F.first(k).alias(k) for k in kept), F.sort_array(F.collect_set("name")).alias("matched_names"))
+    return number_within(once.withColumn("_of", F.struct(by, "person")), "_of", timeline_order(), "mention_no").drop("_of")
+
+
+def with_document_anchor(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """``rows`` (document_sha256) with the anchor of their document in an index of documents, '' for those not in it."""
+    anchors = index.groupBy("document_sha256").agg(F.min("anchor").alias("document_anchor"))
+    return rows.join(anchors, "document_sha256", "left").withColumn("document_anchor", F.coalesce("document_anchor", F.lit("")))
+
+
+def with_links(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """``rows`` (document_sha256, page_start) with the copied file and page they lead to; null where nothing was copied.
+
+    ``copies``: sha256, href, one row a document.
+    """
+    links = copies.select(F.col("sha256").alias("document_sha256"), F.col("href").alias("report_href"))
+    return rows.join(links, "document_sha256", "left").withColumn("page_href", text.page_href("report_href", "page_start"))
+
+
+def evidence_display(report: DataFrame, copies: DataFrame, index: DataFrame) -> DataFrame:
+    """The evidence of a report with every column it shows: place in the order, document, pages, summaries, lists as text, dates,
+    first person, links to the copy and to the index."""
+    lists = ("people", "places", "dates")
+    rows = timeline_rows(report, [F.coalesce("document_summary", F.lit("")).alias("document_summary"), "relevance_score", "page_end", "summary", "places", "dates"])
+    numbered = number_rows(rows, timeline_order(), "_position").withColumn("anchor", F.concat(F.lit("evidence-"), F.col("_position").cast("string")))
+    path = next(c for c in copies.columns if c not in ("sha256", "href"))
+    where = copies.select(F.col("sha256").alias("document_sha256"), F.col(path).alias("source_path"))
+    linked = with_document_anchor(with_links(numbered, copies), index).join(where, "document_sha256", "left").withColumns({c: F.coalesce(text.display_list(c), F.lit("")) for c in lists})
+    return linked.select(
+        "anchor", "document_sha256", "source_filename", "source_path", "document_summary", "relevance_score", "page_start", "page_end", "page_label", "summary", "brief_summary", *lists,
+        "y", "m", "d", "date_label", "date_badge_label", "key_person", "report_href", "page_href", "document_anchor",
+    )
+
+
 def document_index(report: DataFrame, documents: DataFrame) -> DataFrame:
     """Responsive documents that have evidence, with how much and from which page on."""
     found = report.groupBy("query_id", "document_sha256").agg(F.count(F.lit(1)).alias("evidence_items"), F.min("page_start").alias("first_page"))

@@ -33,12 +33,8 @@ def load_prices(spark: SparkSession, path: str | Path) -> tuple[DataFrame, dict]
 
 def model_listing(models: DataFrame, prices: DataFrame) -> DataFrame:
     """Model catalogue (model_name, input_token_limit, output_token_limit) with prices as text, '?' where unknown, by name."""
-    from pyspark.sql import functions as F
-
+    from vellumflow.functions import text
     from vellumflow.operators.costs import priced_models
 
     priced = models.join(priced_models(models, prices), "model_name", "left")
-    price = lambda c: F.coalesce(F.format_string("$%.2f", F.col(c)), F.lit("?"))
-    limit = lambda c: F.when(F.coalesce(F.col(c), F.lit(0)) == 0, "?").otherwise(F.format_number(F.col(c), 0))
-    shown = lambda c: F.when(F.col(c).isNull(), "?").otherwise(price(c))
-    return priced.select("model_name", limit("input_token_limit").alias("input_limit"), limit("output_token_limit").alias("output_limit"), shown("input_price").alias("input_price"), shown("output_price").alias("output_price")).orderBy("model_name")
+    return priced.select("model_name", text.limit("input_token_limit").alias("input_limit"), text.limit("output_token_limit").alias("output_limit"), text.price("input_price").alias("input_price"), text.price("output_price").alias("output_price")).orderBy("model_name")
