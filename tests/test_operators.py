@@ -1,8 +1,12 @@
+import random
+import unicodedata
 from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from vellumflow.functions import people, text
 from vellumflow.operators import costs, entities, ordering, ranges, reports, state
+from vellumflow.operators.components import component_roots
 
 NAMES = ["Bernard A. Schriever", "Bernard A. Schreiver", "Gordon N. Thayer", "Gordon Thayer", "Albert G. Hill", "Albert Hill", "Albert R. Hill", "A. Hill", "Clair W. Halligan", "C. W. Halligan", "Clair Halligan", "John F. Jacobs", "J. F. Jacob", "Plato", "Plato", "", "John V", "Clair W. Halligan"]
 
@@ -143,3 +147,108 @@ def test_reports(spark):
     d = spark.createDataFrame([(False, False, 3, None, False), (False, False, 0, None, True), (False, True, 0, "x", True), (True, True, 9, None, None), (False, False, 0, "succeeded", False), (False, False, 0, "failed", True)], "o boolean, f boolean, n int, s string, w boolean")
     got = [r.x for r in d.select(reports.refresh_synthesis(F.col("o"), F.col("f"), F.col("n"), F.col("s")).alias("x")).collect()]
     assert got == [True, True, True, False, False, True]
+
+
+def test_store_versions_and_buckets(spark, tmp_path):
+    """Upserts rewrite only the buckets they touch; readers of an older version go on reading it; old versions end."""
+    store = state.TableStore(spark, tmp_path / "s", buckets=8)
+    rows = lambda pairs: spark.createDataFrame(pairs, "k long, v string, at int")
+    store.upsert("t", rows([(i, "a", 1) for i in range(200)]), ["k"], ["at"])
+    before = store.read("t")
+    folders = {p for p in (tmp_path / "s/t").iterdir() if p.name.startswith("data-")}
+    store.upsert("t", rows([(5, "b", 2), (5, "c", 1)]), ["k"], ["at"])
+    fresh = [p for p in (tmp_path / "s/t").iterdir() if p.name.startswith("data-") and p not in folders]
+    assert len([p for p in fresh[0].iterdir() if p.name.startswith("_bucket=")]) == 1
+    assert before.where("v = 'b'").count() == 0 and before.count() == 200
+    assert {tuple(r) for r in store.read("t").where("k = 5").collect()} == {(5, "b", 2)} and store.read("t").count() == 200
+    store.upsert("t", rows([(5, "late", 0)]), ["k"], ["at"], compete=True)
+    assert store.read("t").where("k = 5").first().v == "b"
+    store.append("t", rows([(900, "x", 1)]).withColumn("more", F.lit(1)))
+    assert store.read("t").count() == 201 and store.read("t").where("more is not null").count() == 1
+    store.upsert("t", rows([(900, "y", 3)]), ["k"], ["at"])
+    assert {tuple(r)[:2] for r in store.read("t").where("k = 900").collect()} == {(900, "y")} and store.read("t").count() == 201
+    for i in range(6):
+        store.write("t", rows([(i, "z", 1)]))
+    assert len([p for p in (tmp_path / "s/t").iterdir() if p.name.startswith("manifest-")]) == state.KEPT
+    assert len([p for p in (tmp_path / "s/t").iterdir() if p.name.startswith("data-")]) == state.KEPT and store.read("t").count() == 1
+    store.upsert("e", rows([]), ["k"], ["at"])
+    assert store.read("e").count() == 0
+
+
+def test_similar_keys_miss_no_similar_pair():
+    from difflib import SequenceMatcher
+
+    rnd, words = random.Random(4), set()
+    for _ in range(120):
+        w = "".join(rnd.choice("abcde") for _ in range(rnd.randint(2, 16)))
+        words.add(w)
+        for _ in range(4):
+            i = rnd.randrange(len(w))
+            words.add(rnd.choice([w[:i] + w[i + 1 :], w[:i] + "x" + w[i:], w[:i] + "x" + w[i + 1 :], w[: i // 2] + w[i // 2 + 1 :]]) or "a")
+    keys = {w: [set(k) for k in entities.similar_keys(w)] for w in words}
+    similar = [(a, b) for a in words for b in words if a == b or min(len(a), len(b)) >= 4 and SequenceMatcher(a=a, b=b, autojunk=True).ratio() >= people.SIMILAR]
+    assert len(similar) > 1.5 * len(words) and all(keys[a][1] & keys[b][0] for a, b in similar)
+    assert sum(bool(keys[a][1] & keys[b][0]) for a in words for b in words) < 0.3 * len(words) ** 2
+
+
+def test_components_against_union_find(spark):
+    rnd = random.Random(7)
+    links = [(rnd.randrange(3), rnd.randrange(150), rnd.randrange(150)) for _ in range(220)] + [(9, i, i + 1) for i in range(70)] + [(9, 3, 3)]
+    top = {}
+
+    def find(x):
+        top.setdefault(x, x)
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for g, a, b in links:
+        a, b = find((g, a)), find((g, b))
+        top[max(a, b)] = min(a, b)
+    want = {(g, i, find((g, i))[1]) for g, i in top if find((g, i)) != (g, i)}
+    assert {tuple(r) for r in component_roots(spark.createDataFrame(links, "g int, a long, b long"), "g").collect()} == want
+    assert component_roots(spark.createDataFrame([], "g int, a long, b long"), "g").count() == 0
+
+
+def test_outside_clustering_is_not_trusted(spark):
+    names = spark.createDataFrame([(1, 1, "Anna Karlholt", 1), (1, 2, "A. Karlholt", 1), (1, 3, "Bo Oskoyd", 1)], "run long, name_id long, name_string string, mentions int")
+    groups = lambda rows: lambda n: spark.createDataFrame(rows, "run long, cluster_id long, members array<long>")
+    good = entities.clustered_by(names, "run", groups([(1, 1, [1]), (1, 2, [2, 3])]))
+    assert good[0] == "external" and {tuple(r.members) for r in good[1].collect()} == {(1,), (2, 3)}
+
+    def broken(n):
+        raise RuntimeError("no service")
+
+    for outside in (None, broken, groups([(1, 1, [1, 2])]), groups([(1, 1, [1, 2, 3]), (1, 2, [3])]), groups([])):
+        method, got = entities.clustered_by(names, "run", outside)
+        assert method == "local" and {tuple(r.members) for r in got.collect()} == {(1, 2), (3,)}
+
+
+def test_assembly(spark):
+    names = spark.createDataFrame([(1, 4, "Anna Karlholt", 1), (1, 2, "A. Karlholt", 1), (1, 3, "Bo Oskoyd", 1), (1, 9, "anna karlholt", 5), (2, 1, "?", 1)], "run long, name_id long, name_string string, mentions int")
+    got = {(r.run, r.cluster_no): r for r in entities.assembled(names, "run").collect()}
+    assert got[1, 1].member_name_ids == [2, 4, 9] and got[1, 1].rationale == "2-4: same surname and compatible initials; 4-9: same surname and matching first name"
+    assert (got[1, 1].representative_name_id, got[1, 2].rationale, got[1, 2].member_names, got[2, 1].member_name_ids) == (9, "singleton", ["Bo Oskoyd"], [1])
+
+
+def test_long_documents_add_up_in_blocks(spark):
+    pages = [(d, i, (i * 7) % 11) for d in range(2) for i in range(3, 9_500, 1 + d)]
+    df = spark.createDataFrame([*pages, (7, 5, None)], "document int, unit_no int, bytes int")
+    got = {(r.document, r.k): r.total for r in ranges.prefix_sums(df).collect()}
+    for d in range(2):
+        total = 0
+        for k, (_, _, b) in enumerate([p for p in pages if p[0] == d], 1):
+            total += b
+            assert got[d, k] == total
+    assert got[7, 1] == 0 and len(got) == len(pages) + 1
+    parts = sorted((r.document, r.start_page, r.end_page) for r in ranges.bisect_ranges(ranges.prefix_sums(df), 4_000).collect() if r.document == 0)
+    assert parts[0][1] == 1 and parts[-1][2] == 9_497 and all(a[2] + 1 == b[1] for a, b in zip(parts, parts[1:]))
+    assert ranges.bisect_ranges(ranges.prefix_sums(df.limit(0))).count() == 0
+
+
+def test_casefold(spark):
+    """The rule of Unicode for every letter but Cherokee's."""
+    letters = [chr(i) for i in range(1, 0x2FFFF) if not 0xD800 <= i <= 0xDFFF and not 0x13A0 <= i <= 0x13FF and not 0xAB70 <= i <= 0xABBF and unicodedata.category(chr(i)) in ("Lu", "Ll", "Lt")]
+    df = spark.createDataFrame([(c,) for c in [*letters, "Straße İß", "", None, "ΟΔΟΣ"]], "x string")
+    wrong = [r.x for r in df.select("x", text.casefold("x").alias("y")).collect() if r.x is not None and r.y != r.x.casefold()]
+    assert len(wrong) <= 12 and not {"Straße İß", "ΟΔΟΣ", "ß"} & set(wrong), wrong

@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellumflow import cli
+from vellumflow.operators.runs import RunLedger
 from vellumflow.operators.state import TableStore
 from vellumflow.plans.project import run_project
 from vellumflow.sinks import files, html, xlsx
 from vellumflow.operators import uploads
-from vellumflow.sources import archive, extract, pdf, pricing, validation
+from vellumflow.sources import archive, candidates, extract, names, normalise, pdf, pricing, remote, validation
 from vellumflow.sources.config import ProjectConfig
 from vellumflow.streaming.incremental import stream_into
 
@@ -168,6 +169,10 @@ def test_project_end_to_end(spark, tmp_path):
     assert "Page 2" in sheets[0] and "Anna B. Karlholt" in sheets[0] and sheets[2].count("<row") == 3
     again = run_project(spark, config, now="2024-01-02T00:00:00")
     assert (again["queued_documents"], again["failed_documents"]) == (2, 1)
+    store = TableStore(spark, tmp_path / "out/state")
+    answers = store.read("syntheses").collect()
+    assert len(answers) == 1 and (answers[0].run_id, answers[0].status) == (2, "succeeded") and store.read("objects").count() == 6
+    assert [r.asDict()["skipped_documents"] for r in RunLedger(spark, store).runs().orderBy("run_id").collect()] == [0, 0]
     lost = run_project(spark, config, offline=True, force=True, now="2024-01-03T00:00:00")
     assert lost["responsive_documents"] == 2 and lost["skipped_documents"] == 4
     docs = {r.canonical_filename: (r.first_seen_at, r.last_seen_at) for r in TableStore(spark, tmp_path / "out/state").read("documents").collect()}
@@ -241,9 +246,10 @@ def test_reports_are_whole(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(project, "REPORT_ROWS", 3, raising=False)
     monkeypatch.setattr(xlsx, "SHEET_ROWS", 4, raising=False)
+    people = ["Karlholt", "Veckmund", "Oskander", "Prydwell", "Fennamot", "Wendular", "Torsumba", "Halderby", "Rookmere", "Nolbardi"]
     for i in range(10):
         (tmp_path / "in" / str(i)).mkdir(parents=True)
-        (tmp_path / "in" / str(i) / f"n{i % 9}.pdf").write_bytes(text_pdf([f"The cedar bridge {i} opened in May 192{i}; Anna B. Karlholt{'abcdefghij'[i]} spoke."]))
+        (tmp_path / "in" / str(i) / f"n{i % 9}.pdf").write_bytes(text_pdf([f"The cedar bridge {i} opened in May 192{i}; Anna B. {people[i]} spoke."]))
     for i in range(5):
         (tmp_path / "in" / f"bad{i}.pdf").write_bytes(b"junk %d" % i)
     (tmp_path / "p.yaml").write_text("name: Cedar\npdf_directory: in\noutput_directory: out\nquestion: Where is the cedar bridge?\n")
@@ -251,9 +257,119 @@ def test_reports_are_whole(spark, tmp_path, monkeypatch):
     page = (tmp_path / "out/report.html").read_text()
     assert page.count('id="evidence-') == 10 and "10 findings in 9 documents." in page
     sections = {s.split("</h2>")[0]: s.count("<tr") - 1 for s in page.split("<h2>")[1:]}
-    assert [sections[k] for k in ("Responsive Index", "People", "Evidence Timeline", "Responsive Documents", "Errors")] == [10, 10, 10, 10, 5]
+    assert [sections[k] for k in ("Responsive Index", "People", "Evidence Timeline", "Responsive Documents", "Errors")] == [10, 10 + 1 + 10, 10, 10, 5]  # people, and the head and rows of their mentions
+    assert page.count('href="pdfs/') == 20 and page.count('href="#document-') == 20
+    ledger = RunLedger(spark, TableStore(spark, tmp_path / "out/state"))
+    run = ledger.runs().first()
+    assert (run.run_id, run.queued_documents, run.succeeded_documents, run.failed_documents, run.completed_at) == (1, 15, 10, 5, "2024-01-01T00:00:00")
+    assert ledger.log().count() == 15 and run.total_tokens > 0
     assert sorted(p.name for p in (tmp_path / "out/pdfs").iterdir()) == sorted([f"n{i}.pdf" for i in range(9)] + ["n0_1.pdf"])
     book = zipfile.ZipFile(tmp_path / "out/report.xlsx")
     names = [x.split('"')[0] for x in book.read("xl/workbook.xml").decode().split('<sheet name="')[1:]]
     rows = [book.read(f"xl/worksheets/sheet{i}.xml").decode().count("<row") - 1 for i in range(1, len(names) + 1)]
     assert list(zip(names, rows)) == [("Evidence", 4), ("Evidence 2", 4), ("Evidence 3", 2), ("Documents", 4), ("Documents 2", 4), ("Documents 3", 4), ("Documents 4", 3), ("Failures", 4), ("Failures 2", 1)]
+
+
+def test_normalising(tmp_path):
+    """Without outside tools a file is freed of what acts; with them it is flattened, converted and judged."""
+    path = tmp_path / "a.pdf"
+    path.write_bytes(text_pdf(["a"], b"/OpenAction <</S /JavaScript /JS (x)>>"))
+    assert normalise.Normaliser()(path) == ["not_pdfa"]
+    for name, code in (("conv", 'cp "$1" "$2"; echo "%conv" >> "$2"'), ("flat", 'cp "$3" "$4"; echo "%flat $2" >> "$4"'), ("judge", 'grep -q "%conv" "$3" && ok=true || ok=false; echo "{\\"jobs\\": [{\\"validationReport\\": {\\"isCompliant\\": $ok}}]}"')):
+        (tmp_path / name).write_text(f"#!/bin/sh\n{code}\n")
+        (tmp_path / name).chmod(0o755)
+    tidy = normalise.Normaliser(*(str(tmp_path / x) for x in ("flat", "conv", "judge")), 150)
+    assert tidy.issues(path) == ["not_pdfa"] and tidy(path, flatten=True) == [] and b"%flat 150" in path.read_bytes()
+    locked = tmp_path / "l.pdf"
+    locked.write_bytes(make_pdf({1: b"<</Type /Catalog /Pages 2 0 R>>", 2: b"<</Type /Pages /Kids [] /Count 0>>"}, b"/Encrypt 9 0 R"))
+    assert "encrypted" in tidy(locked)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.pdf", "conv", "flat", "judge", "l.pdf"]
+
+
+def test_candidates(spark, tmp_path):
+    big, small = text_pdf([f"page {i} " + "x" * 50 for i in range(8)]), text_pdf(["a"])
+    (tmp_path / "big.pdf").write_bytes(big)
+    (tmp_path / "small.pdf").write_bytes(small)
+    (tmp_path / "shrink").write_text('#!/bin/sh\nhead -c 300 "$1" > "$2"\n')
+    (tmp_path / "shrink").chmod(0o755)
+    df = spark.createDataFrame([("b", str(tmp_path / "big.pdf")), ("s", str(tmp_path / "small.pdf")), ("m", str(tmp_path / "no.pdf"))], "sha256 string, absolute_path string")
+    get = lambda strategy: [r.asDict() for r in candidates.prepare_candidates(df, str(tmp_path / "out"), strategy, len(big) - 1, {"qpdf": str(tmp_path / "shrink")}).collect()]
+    chunked = [r for r in get("auto") if r["document_sha256"] == "b"]
+    assert len(chunked) > 1 and chunked[0]["start_page"] == 1 and chunked[-1]["end_page"] == 8 and all(r["size_bytes"] < len(big) for r in chunked)
+    assert {(r["document_sha256"], r["compression_method"], r["error"] is None) for r in get("none")} == {("b", None, False), ("s", "original", True), ("m", None, False)}
+    assert [(r["compression_method"], r["size_bytes"]) for r in get("qpdf") if r["document_sha256"] == "b"] == [("qpdf", 300)]
+    assert [r["error"] for r in get("ebook") if r["document_sha256"] == "b"] == ["no tool for ebook"]
+    with pytest.raises(ValueError):
+        get("zip")
+
+
+def test_name_records(spark, tmp_path):
+    (tmp_path / "n.yaml").write_text("- {id: 7, name_string: Anna Karlholt, mentions: 3, source_filenames: [a.pdf]}\n- {name_string: A. Karlholt}\n")
+    assert [tuple(r)[:3] for r in names.load_name_records(spark, tmp_path / "n.yaml").collect()] == [(7, "Anna Karlholt", 3), (2, "A. Karlholt", 1)]
+    (tmp_path / "e.yaml").write_text("")
+    assert names.load_name_records(spark, tmp_path / "e.yaml").count() == 0
+    (tmp_path / "x.yaml").write_text("- {mentions: 3}\n")
+    with pytest.raises(ValueError):
+        names.load_name_records(spark, tmp_path / "x.yaml")
+
+
+def test_waiting_for_a_remote_file(monkeypatch):
+    class Fake:
+        def __init__(self, *states):
+            self.states = list(states)
+
+        def look(self, name):
+            return remote.RemoteFile(name, self.states.pop(0))
+
+        def answer(self, request, files):
+            return {"responsive": False, "asked": request["prompt"]}
+
+    slept = []
+    done = remote.wait_until_ready(Fake("PROCESSING", "ACTIVE"), remote.RemoteFile("f", "PROCESSING"), slept.append)
+    assert done.state == "ACTIVE" and slept == [remote.POLL_SECONDS] * 2
+    for state, file in (("FAILED", remote.RemoteFile("f", "PROCESSING")), ("ACTIVE", remote.RemoteFile(None, "PROCESSING"))):
+        with pytest.raises(RuntimeError):
+            remote.wait_until_ready(Fake(state), file, slept.append)
+    assert "Question: q" in remote.RemoteExtractor(Fake(), "m").analyse("q", "f.pdf", [])["asked"]
+    monkeypatch.delenv("NO_SUCH_KEY", raising=False)
+    with pytest.raises(SystemExit):
+        remote.required_key("NO_SUCH_KEY")
+
+
+def test_prices_over_http():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    page = {"models": {"m": {"aliases": ["m-1"], "standard": {"input_usd_per_million_tokens": 1, "output_usd_per_million_tokens": 2}}}}
+
+    class Page(BaseHTTPRequestHandler):
+        def do_GET(self):
+            known = self.headers.get("If-None-Match") == '"v1"'
+            self.send_response(304 if known else 404 if self.path == "/gone" else 200)
+            self.send_header("ETag", '"v1"')
+            self.end_headers()
+            if not known and self.path != "/gone":
+                self.wfile.write(json.dumps(page if self.path == "/p" else {"models": {}}).encode() + b"\xff")
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Page)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    read = lambda text: json.loads(text.rstrip("\ufffd"))
+    snapshot, meta = pricing.fetch_snapshot(base + "/p", read)
+    assert snapshot == page and meta["etag"] == '"v1"' and len(meta["content_sha256"]) == 64
+    assert pricing.fetch_snapshot(base + "/p", read, etag='"v1"') is None
+    for path in ("/gone", "/empty"):
+        with pytest.raises(ValueError):
+            pricing.fetch_snapshot(base + path, read)
+    server.shutdown()
+    with pytest.raises(ValueError):
+        pricing.fetch_snapshot(base + "/p", read, timeout=1)
+
+
+def test_prompts():
+    asked = extract.synthesis_prompt("q", 5, 3, [{"document": "a.pdf"}])
+    assert asked["total_documents"] == 5 and asked["successful_documents"] == 3 and asked["responsive_documents"] == [{"document": "a.pdf"}]
+    assert extract.document_prompt("q", "f", ["a"]).count("\n") == 1 and extract.document_prompt("q", "f", ["a", "b"]).endswith("Part 2 of 2: b")

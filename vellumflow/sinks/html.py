@@ -26,6 +26,8 @@ def _table(rows: Iterable[dict]) -> Iterator[str]:
 def _cell(value: object) -> str:
     if value is None:
         return ""
+    if isinstance(value, dict):
+        return f'<a href="{escape(str(value["href"]), quote=True)}">{escape(str(value["text"]))}</a>' if value.get("href") else escape(str(value["text"]))
     if isinstance(value, (list, tuple)):
         return "; ".join(escape(str(v)) for v in value if v)
     return escape(str(value))
@@ -37,6 +39,8 @@ def _page(title: str, payload: dict[str, Iterable[dict]]) -> Iterator[str]:
     for name, key in SECTIONS:
         yield f"<section><h2>{escape(name)}</h2>"
         yield from _table(payload.get(key, ()))
+        if key == "people" and "mentions" in payload:
+            yield from _table(payload["mentions"])
         yield "</section>"
     yield "</body></html>\n"
 

@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, fields
 from typing import Protocol
 
 import pandas as pd
@@ -35,7 +36,7 @@ class KeywordExtractor:
         items = []
         for number, page in enumerate(pages, 1):
             if words & set(re.findall(r"[a-z]{4,}", page.lower())):
-                items.append({"page_start": number, "page_end": number, "summary": " ".join(page.split())[:200], "people": list(dict.fromkeys(self._NAME.findall(page))), "places": list(dict.fromkeys(self._PLACE.findall(page))), "dates": list(dict.fromkeys(self._DATE.findall(page)))})
+                items.append({"page_start": number, "page_end": number, "summary": " ".join(page.split()), "people": list(dict.fromkeys(self._NAME.findall(page))), "places": list(dict.fromkeys(self._PLACE.findall(page))), "dates": list(dict.fromkeys(self._DATE.findall(page)))})
         merged = {k: list(dict.fromkeys(x for i in items for x in i[k])) for k in ("people", "places", "dates")}
         return {"responsive": bool(items), "relevance_score": min(10, 1 + len(items)), "summary": items[0]["summary"] if items else "", "evidence": items, "prompt_tokens": sum(len(p) for p in pages) // 4, "candidate_tokens": sum(len(i["summary"]) for i in items) // 4, **merged}
 
@@ -71,18 +72,37 @@ def document_prompt(question: str, filename: str, chunks: list[str]) -> str:
     return "\n".join(lines)
 
 
+def synthesis_prompt(question: str, total: int, successful: int, responsive: list[dict]) -> dict:
+    """The request for a project's answer: the question, how much was read, and the responsive documents with their findings."""
+    return {"question": question, "total_documents": total, "successful_documents": successful, "responsive_documents": responsive}
+
+
 def fingerprint(payload: object, length: int = 12) -> str:
     """Short digest of a value's canonical JSON (sorted keys, no spaces, ASCII)."""
     return hashlib.sha256(json.dumps(payload, sort_keys=True, separators=(",", ":"), ensure_ascii=True).encode()).hexdigest()[:length]
 
 
+# How a stored version names what it was made with.
+TAGS = {"prompt": "pf", "schema": "sf", "synthesis_prompt": "spf", "synthesis_schema": "ssf"}
+
+
+@dataclass(frozen=True)
+class Asked:
+    """What makes up a question's identity: each version with the parts it stands for."""
+
+    prompt: tuple[str, dict[str, object]]
+    schema: tuple[str, dict[str, object]]
+    synthesis_prompt: tuple[str, dict[str, object]]
+
+    def versions(self) -> dict[str, str]:
+        """Versions with the fingerprints of their parts: a changed part is a different question."""
+        stated = {f.name: getattr(self, f.name) for f in fields(self)}
+        return {f"{name}_version": "+".join((version, *(f"{TAGS[part]}:{fingerprint(value)}" for part, value in parts.items()))) for name, (version, parts) in stated.items()}
+
+
 def query_identity(prompt_version: str, schema_version: str, synthesis_version: str, prompt: object, schema: object, synthesis_prompt: object, synthesis_schema: object) -> dict[str, str]:
-    """Versions with the fingerprints of what they stand for: a changed prompt or schema is a different question."""
-    return {
-        "prompt_version": f"{prompt_version}+pf:{fingerprint(prompt)}",
-        "schema_version": f"{schema_version}+sf:{fingerprint(schema)}",
-        "synthesis_prompt_version": f"{synthesis_version}+spf:{fingerprint(synthesis_prompt)}+ssf:{fingerprint(synthesis_schema)}",
-    }
+    """The versions of a question as stored with it."""
+    return Asked((prompt_version, {"prompt": prompt}), (schema_version, {"schema": schema}), (synthesis_version, {"synthesis_prompt": synthesis_prompt, "synthesis_schema": synthesis_schema})).versions()
 
 
 def synthesize(question: str, findings: list[dict], successes: int, write) -> dict:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from pathlib import Path
+from urllib.error import HTTPError, URLError
+from urllib.request import Request, urlopen
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +34,28 @@ def load_prices(spark: SparkSession, path: str | Path) -> tuple[DataFrame, dict]
     return spark.createDataFrame(price_rows(json.loads(content.decode("utf-8", "replace"))), SCHEMA), meta
 
 
+def fetch_snapshot(url: str, extract: Callable[[str], dict], etag: str | None = None, timeout: float = 30) -> tuple[dict, dict] | None:
+    """(snapshot, what identifies it) of a price page over HTTP, none if it still is the one of ``etag``.
+
+    ``extract`` makes a snapshot of the page's text, which is decoded with replacement. A page that can't be had, or from which
+    no model can be read, is a ValueError.
+    """
+    request = Request(url, headers={"Accept": "text/html,application/json", **({"If-None-Match": etag} if etag else {})})
+    try:
+        with urlopen(request, timeout=timeout) as response:
+            content, headers = response.read(), response.headers
+    except HTTPError as e:
+        if e.code == 304:
+            return None
+        raise ValueError(str(e)) from e
+    except (URLError, OSError) as e:
+        raise ValueError(str(e)) from e
+    snapshot = extract(content.decode("utf-8", "replace"))
+    price_rows(snapshot)
+    meta = {"source": url, "content_type": headers.get_content_type(), "content_sha256": hashlib.sha256(content).hexdigest(), "size": len(content), "etag": headers.get("ETag"), "last_modified": headers.get("Last-Modified")}
+    return snapshot, meta
+
+
 def model_listing(models: DataFrame, prices: DataFrame) -> DataFrame:
     """Model catalogue (model_name, input_token_limit, output_token_limit) with prices as text, '?' where unknown, by name."""
     from vellumflow.functions import text

@@ -11,18 +11,14 @@ from vellumflow.operators.state import TableStore
 
 
 def stream_into(arrivals: DataFrame, store: TableStore, table: str, keys: Sequence[str], order: Sequence[str], checkpoint: str, keep_first: Sequence[str] = (), coalesce: Sequence[str] = (), available_now: bool = True) -> StreamingQuery:
-    """Every micro-batch of ``arrivals`` upserted into ``table``.
+    """Every micro-batch of ``arrivals`` upserted into ``table``; only the buckets its keys fall into are rewritten.
 
     A batch that is run again after a failure changes nothing: the upsert depends on keys and order alone. Late and repeated
     rows are settled by ``order``, so no watermark is needed; the table is the state.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        existing = store.read(table, batch.schema)
-        from vellumflow.operators.state import upsert
-
-        # Rows of the table compete with the batch by order, so that a late arrival doesn't displace a newer row.
-        store.write(table, upsert(existing.limit(0), existing.unionByName(batch), keys, order, keep_first, coalesce))
+        store.upsert(table, batch, keys, order, keep_first, coalesce, compete=True)
 
     writer = arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
