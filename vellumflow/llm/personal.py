@@ -24,14 +24,21 @@ PLAIN_EVERY = 8
 #: Characters of a sample document that are labelled.
 SAMPLE_CHARS = 6_000
 EPOCHS, RATE, SHRINK = 25, 0.25, 0.02
+#: Every so manieth surname is withheld from the features of the sample.
+WITHHELD = 2
 BUCKETS = 1 << 17
-#: Of so many different texts, those from which a surname-like word that never names anybody is taken for none.
-LOOKALIKE, LOOKALIKE_OF = 25, 4_000
+#: Of LOOKALIKE_OF different texts, those that make a capitalised word a frequent one; and the share of a surname's texts in
+#: which it stands after a title, first name or initial.
+LOOKALIKE, LOOKALIKE_OF, NAMED_SHARE = 8, 4_000, 0.15
 #: Loopy rounds, and the tokens a chain has at most.
 ROUNDS, CHAIN = 2, 96
+#: Tokens on either side that tell a passage's language.
+WINDOW = 200
 
 LABELS = ("O", "name+", "name", "email", "phone", "id_number", "address+", "address")
 OTHER, NAME_B, NAME, EMAIL, PHONE, ID, ADDRESS_B, ADDRESS = range(len(LABELS))
+#: No label: the sample does not say.
+UNKNOWN = -1
 KIND = {NAME_B: "name", NAME: "name", EMAIL: "email", PHONE: "phone", ID: "id_number", ADDRESS_B: "address", ADDRESS: "address"}
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in ("name", "email", "phone", "id_number", "address")}
 
@@ -78,13 +85,19 @@ class Tokens:
             self.line.append(1 if not last or "\n" in gap else 0)
             self.tab.append("\t" in gap or "   " in gap)
             last = m.end()
-        low = [w.lower() for w in self.text[:400]]
-        self.french = sum(w in _FRENCH for w in low) > sum(w in _ENGLISH for w in low)
+        self.french = _french(self.text)
 
     def __len__(self) -> int:
         return len(self.text)
 
 
+def _french(words: list[str]) -> list[bool]:
+    """Whether the passage around each token is French, by the marker words up to WINDOW tokens before and after it."""
+    marks = np.cumsum([0, *((w.lower() in _FRENCH) - (w.lower() in _ENGLISH) for w in words)])
+    at = np.arange(len(words))
+    return (marks[np.minimum(at + WINDOW, len(words))] > marks[np.maximum(at - WINDOW, 0)]).tolist()
+
+
 def _bare(word: str) -> str:
     """A word folded, without possessive, line-end hyphen and O'."""
     w = fold(word.replace("-\n", ""))
@@ -93,68 +106,100 @@ def _bare(word: str) -> str:
 
 
 class Lexicon:
-    """Given names and the beginnings and ends of surnames, learnt from the letterheads of all texts.
+    """Given names from the letterheads of all texts, and surnames: words that stand after them, an initial or a title often
+    enough among all their uses. ``things`` are frequent words that don't.
 
-    ``scale`` is the number of different texts over LOOKALIKE_OF, 1 at least: what must be seen so often grows with it.
+    ``scale`` is the number of different texts over LOOKALIKE_OF, 1 at least: what must be seen so often grows with it, so that
+    the lexicon is bounded by what a text says, not by how many there are. Rarer surnames are told by what stands around them.
     """
 
     _HEAD = re.compile(r"(?m)^(?:(?i:from|to|name|cc)\s*:)\s*(.+?)\s*(?:<.*)?$")
-    _USE = re.compile(rf"({_L}+\.?)\s+({_L}{{5,}}(?:['’\-]{_L}+)*)|(?<!\w)({_L}{{5,}}(?:['’\-]{_L}+)*)")
+    _CAPITAL = re.compile(rf"(?<![\w'’\-])[A-ZÀ-ÖØ-ÞĀ-Ž]{_L}{{2,}}(?:['’\-]{_L}+)*")
 
     def __init__(self) -> None:
         self.given: set[str] = set(GIVEN) | set(FORMAL)
-        self.begins: set[str] = set()
-        self.ends: set[str] = set()
+        self.surnames: set[str] = set()
         self.things: set[str] = set()
+        self.near: set[str] = set()
+        self.misread: set[str] = set()
 
     @classmethod
-    def heads(cls, text: str) -> Iterator[tuple[str, str]]:
-        """(kind, part) of the names in a text's letterheads: given, begins and ends."""
+    def heads(cls, text: str) -> Iterator[str]:
+        """The first names in a text's letterheads."""
         for head in cls._HEAD.findall(text):
             if not re.fullmatch(rf"(?:{_L}|[\s.,'’-])+", head) or any(w in head.split() for w in ("of", "the", "for")):
                 continue
             parts = head.split(",")
             names = parts[1].split() + parts[0].split()[-1:] if len(parts) == 2 and parts[1].strip() else head.split()
             names = [n for n in names if len(n.strip(".")) > 1 and n[0].isupper() and fold(n.strip(".")) not in TITLES]
-            if len(names) < 2 or len(names) > 4:
-                continue
-            yield "given", fold(names[0])
-            for half in _bare(names[-1]).split("-"):
-                if len(half) >= 5:
-                    yield "begins", half[:3]
-                    yield "ends", half[-3:]
-
-    def uses(self, text: str) -> dict[str, bool]:
-        """Words of a text that look like surnames: whether one ever follows a first name, an initial or a title there."""
-        found: dict[str, bool] = {}
-        for before, after, alone in self._USE.findall(text):
-            w = after or alone
-            if self.is_surname(w):
-                b = fold(before).rstrip(".")
-                key = _bare(w)
-                found[key] = found.get(key, False) or b in TITLES or b in PARTICLES or before != "" and self.is_given(before) or len(b) == 1
+            if 2 <= len(names) <= 4:
+                yield fold(names[0])
+
+    def uses(self, text: str) -> dict[str, tuple[bool, bool]]:
+        """Capitalised words of a text: whether one ever follows a title, first name or initial there, and whether one of the latter two."""
+        found: dict[str, tuple[bool, bool]] = {}
+        for m in self._CAPITAL.finditer(text):
+            w, i = m.group(), m.start()
+            if w.isupper():
+                continue  # where everything is in capitals they tell nothing
+            lead = text[max(0, i - 40) : i - 1].split(" ")[-2:] if i > 1 and text[i - 1] == " " else [""]
+            before = lead[-1].lstrip("(\"'“„«[")
+            number = len(lead) > 1 and lead[0][:1].isdigit()
+            b = fold(before).rstrip(".") if before[:1].isupper() and "\n" not in before else ""
+            called = b in self.given or len(b) == 1 and before[-1] == "." and not number
+            named = called or len(b) > 1 and b in TITLES
+            for half in _bare(w).split("-"):
+                if len(half) > 2 and half not in self.given and half not in PARTICLES:
+                    n, c = found.get(half, (False, False))
+                    found[half] = (n or named, c or called)
         return found
 
-    def learn(self, parts: Iterable[tuple[str, str, int]], scale: float = 1.0) -> None:
-        """Takes up (kind, part, occurrences) of :meth:`heads`."""
-        for kind, part, n in parts:
-            if n > scale:
-                getattr(self, kind).add(part)
+    def learn(self, parts: Iterable[tuple[str, int]], scale: float = 1.0) -> None:
+        """Takes up (first name, occurrences) of :meth:`heads`."""
+        self.given |= {part for part, n in parts if n > scale}
+
+    def learn_words(self, words: Iterable[tuple[str, int, int, int]], scale: float = 1.0) -> None:
+        """Takes up (word, texts, texts in which it is named, is called) of :meth:`uses`."""
+        for w, n, named, called in words:
+            if called >= self.seen_from(scale) and named >= NAMED_SHARE * n:
+                self.surnames.add(w)
+            elif n >= LOOKALIKE * scale:
+                self.things.add(w)
+        self.near = {v for w in self.surnames if len(w) > 5 for v in _shorter(w)}
+        self.misread = {v for w in self.things if len(w) > 5 for v in _shorter(w)}
+
+    def without(self, share: int) -> Lexicon:
+        """This lexicon with every so manieth surname, by a hash of it, unknown."""
+        part = Lexicon()
+        part.given, part.things, part.misread = self.given, self.things, self.misread
+        part.surnames = {w for w in self.surnames if zlib.crc32(w.encode()) % share}
+        part.near = {v for w in part.surnames if len(w) > 5 for v in _shorter(w)} - {v for w in self.surnames - part.surnames for v in _shorter(w)}
+        return part
 
-    def learn_things(self, words: Iterable[tuple[str, int, int]], scale: float = 1.0) -> None:
-        """Takes up (word, texts, texts in which it names somebody) of :meth:`uses`: frequent words that hardly ever do."""
-        self.things = {w for w, n, named in words if n >= LOOKALIKE * scale and named < 0.05 * n}
+    @staticmethod
+    def seen_from(scale: float) -> float:
+        """Texts a surname must be called in."""
+        return max(2.0, scale / 4)
 
     def is_given(self, word: str) -> bool:
         w = fold(word)
         return w in self.given and word[0].isupper()
 
     def is_surname(self, word: str) -> bool:
+        """A known surname or two, or a rare word one slip from a known one."""
         if not word[0].isupper():
             return False
-        bare = _bare(word)
-        halves = bare.split("-")
-        return bare not in self.things and all(len(h) >= 5 and h[:3] in self.begins and h[-3:] in self.ends for h in halves)
+        return all(h in self.surnames or self._misread(h) for h in _bare(word).split("-"))
+
+    def _misread(self, w: str) -> bool:
+        if len(w) < 6 or w in self.things or w in self.given:
+            return False
+        return any(v in self.near or v in self.surnames for v in _shorter(w))
+
+
+def _shorter(word: str) -> set[str]:
+    """A word and all it can be with one letter dropped: words one slip apart have one of these in common."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
 
 
 @lru_cache(200_000)
@@ -203,19 +248,48 @@ def _bucket(feature: str) -> int:
     return zlib.crc32(feature.encode()) & (BUCKETS - 1)
 
 
-def _word_features(word: str, cls: str) -> tuple[list[int], list[int]]:
-    """Buckets of what a word says of itself, and of what it says of its neighbours."""
-    low = fold(word)[:24]
+def _word_features(word: str, cls: str, lexicon: Lexicon) -> tuple[list[int], list[int]]:
+    """Buckets of what a word says of itself, and of what it says of its neighbours.
+
+    A capitalised word that is neither frequent nor a known name says no more than that: how it is spelt is not looked at.
+    """
+    bare = _bare(word)[:24]
+    rare = cls in ("cap", "caps") and bare not in lexicon.things
+    return _word_buckets(word, cls, bare, rare, rare and len(bare) > 5 and not lexicon.misread.isdisjoint(_shorter(bare)))
+
+
+@lru_cache(200_000)
+def _word_buckets(word: str, cls: str, bare: str, rare: bool, misread: bool) -> tuple[list[int], list[int]]:
     if cls in ("email", "code") or cls[0] == "n" and any(c.isdigit() for c in word):
         shape, digits = _shape(word) if cls != "email" else "", sum(c.isdigit() for c in word)
         own = [f"c={cls}", f"s={shape}", f"d={cls}{digits}", f"lead={word[0] if not word[0].isalnum() else ''}", f"c={cls}", "number"]
         return [_bucket(f) for f in own], [_bucket(f) for f in (f"c={cls}", f"c={cls}")]
-    own = [f"w={low}", f"s={_shape(word)}", f"p3={low[:3]}", f"e3={low[-3:]}", f"e4={low[-4:]}", f"c={cls}"]
-    near = [f"w={low}" if cls in ("low", "cap", "caps") or len(low) < 12 else "w=", f"c={cls}"]
+    said = "name" if cls.startswith("surname") or cls == "given" else "misread" if misread else "rare" if rare else bare
+    own = [f"w={said}", f"s={_shape(word)}", f"long={min(len(bare), 4)}{cls}", f"e3={bare[-3:] if word[0].islower() else ''}", f"c={cls}", "word"]
+    near = [f"w={said}" if cls in ("low", "cap", "caps") or len(bare) < 12 else "w=", f"c={cls}"]
     return [_bucket(f) for f in own], [_bucket(f) for f in near]
 
 
-_ROLES = ("own", "left", "left2", "right", "right2")
+@lru_cache(200_000)
+def _around_buckets(a: str, b: str, d: str, e: str, f: str, ln: int) -> list[int]:
+    """Buckets of a token's class ``a`` among those before it (``b``, ``e``) and after it (``d``, ``f``)."""
+    return [_bucket(x) for x in (f"lr {b} {a} {d}", f"l {b} {a}", f"r {a} {d}", f"ll {e} {b} {a}", f"rr {a} {d} {f}", f"n {ln} {a} {d}", f"lead {ln // 3} {b} {a}", f"lead {ln // 3} {e} {b} {a}")]
+
+
+@lru_cache(200_000)
+def _number_buckets(key: tuple) -> list[int]:
+    """Buckets of what leads up to a number or code and what its form is, or of a letter in a French passage."""
+    if not key:
+        feats = []
+    elif key[0] == "f":
+        feats = [f"french {key[1]}"]
+    else:
+        _, shape, b3, b2, b1, after, street = key
+        said = {b1, b2, b3}
+        tone = "call" if said & CALLS else "identity" if said & IDENTITY else "numbered" if said & NUMBERED else ""
+        digits = sum(c == "9" for c in shape)
+        feats = [f"shape {shape}", f"shape {shape} {b1}", f"b1 {b1} {digits}", f"b2 {b2} {digits}", f"b3 {b3} {digits}", f"tone {tone}", f"tone {tone} {shape}", f"tone {tone} {digits}", f"after {after} {digits}", f"street {street}", f"b12 {b2} {b1}", f"lead {shape[:1]} {digits}"]
+    return [_bucket(f) for f in feats] + [_bucket("none")] * (12 - len(feats))
 
 
 #: What a token of a kind can be at all; other labels have no potential there.
@@ -241,7 +315,7 @@ class Features:
         kinds = list(_MASKS)
         self.masks = np.array([_MASKS[k] for k in kinds])[np.array([kinds.index(k) for d in docs for k in d.kind], dtype=np.int64)] if n else np.zeros((0, len(LABELS)))
         self.tables: list[tuple[np.ndarray, np.ndarray]] = []  # (place in table of each token, buckets of each row)
-        pairs = [_word_features(w, c) for (w, _), c in zip(words, classes)]
+        pairs = [_word_features(w, c, lexicon) for (w, _), c in zip(words, classes)]
         none = len(pairs)
         own = np.array([p[0] for p in pairs] + [[0] * 6], dtype=np.int64)
         near = np.array([p[1] for p in pairs] + [[_bucket("edge")] * 2], dtype=np.int64)
@@ -275,8 +349,7 @@ class Features:
             code, m2 = divmod(code, k)
             code, p1 = divmod(code, k)
             c, m1 = divmod(code, k)
-            a, b, d, e, f = label[c], label[m1], label[p1], label[m2], label[p2]
-            rows.append([_bucket(x) for x in (f"lr {b} {a} {d}", f"l {b} {a}", f"r {a} {d}", f"ll {e} {b} {a}", f"rr {a} {d} {f}", f"n {ln} {a} {d}", f"lead {ln // 3} {b} {a}", f"lead {ln // 3} {e} {b} {a}")])
+            rows.append(_around_buckets(label[c], label[m1], label[p1], label[m2], label[p2], ln))
         self.tables.append((place, np.array(rows or [[0] * 8], dtype=np.int64)))
         self._numbers(docs, names)
 
@@ -294,27 +367,14 @@ class Features:
                     after = next((w for w in low[j + 1 : j + 4] if w), "")
                     street = _street_near(d, low, j)
                     key = ("n", _shape(d.text[j]), *([""] * (3 - len(before))), *before, after, street)
-                elif len(low[j]) == 1 and d.french:
+                elif len(low[j]) == 1 and d.french[j]:
                     key = ("f", low[j])
                 else:
                     i += 1
                     continue
                 place[i] = keys.setdefault(key, len(keys))
                 i += 1
-        width = 12
-        rows = []
-        for key in keys:
-            if not key:
-                feats = []
-            elif key[0] == "f":
-                feats = [f"french {key[1]}"]
-            else:
-                _, shape, b3, b2, b1, after, street = key
-                said = {b1, b2, b3}
-                tone = "call" if said & CALLS else "identity" if said & IDENTITY else "numbered" if said & NUMBERED else ""
-                digits = sum(c == "9" for c in shape)
-                feats = [f"shape {shape}", f"shape {shape} {b1}", f"b1 {b1} {digits}", f"b2 {b2} {digits}", f"b3 {b3} {digits}", f"tone {tone}", f"tone {tone} {shape}", f"tone {tone} {digits}", f"after {after} {digits}", f"street {street}", f"b12 {b2} {b1}", f"lead {shape[:1]} {digits}"]
-            rows.append([_bucket(f) for f in feats] + [_bucket("none")] * (width - len(feats)))
+        rows = [_number_buckets(k) for k in keys]
         self.tables.append((place, np.array(rows, dtype=np.int64)))
 
     def subset(self, chosen: np.ndarray) -> Features:
@@ -378,7 +438,11 @@ def _street_near(d: Tokens, low: list[str], j: int) -> str:
 
 
 def weak_labels(d: Tokens, classes: list[str], lexicon: Lexicon) -> np.ndarray:
-    """Labels of a sample text by rules that are seldom wrong: the CRF learns from these what the words and forms tell."""
+    """Labels of a sample text by rules that are seldom wrong: the CRF learns from these what the words and forms tell.
+
+    A surname that stands by itself is taken for a name if its text elsewhere gives it a first name, initial or title; else it
+    is UNKNOWN: whether it names somebody there is left to the field.
+    """
     n = len(d)
     out = np.zeros(n, dtype=np.int64)
     low = [fold(w) if k == "word" else "" for w, k in zip(d.text, d.kind)]
@@ -398,6 +462,10 @@ def weak_labels(d: Tokens, classes: list[str], lexicon: Lexicon) -> np.ndarray:
     j = 0
     while j < n:
         j = _mark_name(d, classes, low, j, out, lexicon)
+    called = {_bare(d.text[j]) for j in range(n) if out[j] in (NAME_B, NAME) and classes[j] in _NAMED}
+    for j in np.flatnonzero(out == UNKNOWN).tolist():
+        if _bare(d.text[j]) in called:
+            out[j] = NAME_B
     return out
 
 
@@ -418,7 +486,7 @@ def _number_label(d: Tokens, low: list[str], j: int) -> int:
     if text[0] in "+(":
         return PHONE
     if digits == 7 or len(groups) == 1:
-        return PHONE if near & CALLS and before[-1] != "no" else OTHER
+        return PHONE if near & CALLS and before[-1] != "no" else UNKNOWN if digits == 10 and not near & NUMBERED else OTHER
     plausible = groups in ([3, 3, 4], [3, 4, 4], [5, 6], [4, 3, 4], [1, 3, 3, 4], [1, 3, 7], [3, 7], [2, 2, 2, 2, 2], [2, 4, 4], [3, 5, 3], [4, 2, 5, 3], [3, 8], [5, 3, 3])
     return PHONE if plausible or near & CALLS else OTHER
 
@@ -451,7 +519,7 @@ def _monsieur(d: Tokens, low: list[str], k: int) -> bool:
     if low[k] != "m":
         return False
     before = low[k - 1] if k else ""
-    return d.french and before in ("a", "de", "cher", "et", "par") or "a" in d.text[k + 2 : k + 5]
+    return d.french[k] and before in ("a", "de", "cher", "et", "par") or "a" in d.text[k + 2 : k + 5]
 
 
 def _mark_name(d: Tokens, cls: list[str], low: list[str], j: int, out: np.ndarray, lexicon: Lexicon) -> int:
@@ -480,6 +548,7 @@ def _mark_name(d: Tokens, cls: list[str], low: list[str], j: int, out: np.ndarra
             return k + 1  # the surname labels a thing
         if firsts == 0 and k + 1 < n and cls[k + 1] == "street":
             return k + 1
+        alone = k == j and not (j and (cls[j - 1] == "title" or d.text[j - 1] == "." and j > 1 and cls[j - 2] == "title"))
         out[j] = NAME_B
         out[j + 1 : k + 1] = NAME
         k += 1
@@ -492,7 +561,9 @@ def _mark_name(d: Tokens, cls: list[str], low: list[str], j: int, out: np.ndarra
                     m += 1
             if more and not (m < n and (cls[m] in _NAMED or cls[m] == "particle") and not d.line[m]):
                 out[k:m] = NAME
-                k = m
+                return m
+        if alone:
+            out[j] = UNKNOWN
         return k
     return j + 1
 
@@ -546,51 +617,51 @@ class Model:
         return potential, np.exp(self.transition), np.exp(self.start)
 
     def fit(self, texts: list[str]) -> None:
-        """Gradient ascent on the likelihood of the chains; the skip potentials are then fitted piecewise, to linked pairs."""
+        """Gradient ascent on the likelihood of what the labels allow; the skip potentials are then fitted to linked pairs."""
         docs = [d for t in texts if (d := Tokens(t[:SAMPLE_CHARS])) and len(d)]
         if not docs:
             return
-        features = Features(docs, self.lexicon)
-        gold, base = np.zeros(features.n, dtype=np.int64), 0
-        for d in docs:
-            gold[base : base + len(d)] = weak_labels(d, features.classes[base : base + len(d)], self.lexicon)
-            base += len(d)
-        links, classes = skip_links(docs, features.classes), gold
+        # The labels know every surname, the features not all: the field learns what stands around names it doesn't know.
+        features = Features(docs, self.lexicon.without(WITHHELD))
+        known = lru_cache(None)(lambda w, k: word_class(w, k, self.lexicon))
+        gold = np.concatenate([weak_labels(d, [known(w, k) for w, k in zip(d.text, d.kind)], self.lexicon) for d in docs])
+        links = skip_links(docs, features.classes)
         starts = chain_starts(docs)
         chain = np.cumsum(np.bincount(starts, minlength=features.n)) - 1
-        holds = np.bincount(chain, weights=gold > 0) > 0
+        holds = np.bincount(chain, weights=gold != OTHER) > 0
         holds[::PLAIN_EVERY] = True
-        chosen = holds[chain]
+        whole, whole_starts, labelled, chosen = features, starts, gold, holds[chain]
         starts = (np.cumsum(chosen) - 1)[starts[holds]]
         features, gold = features.subset(chosen), gold[chosen]
         segments = Segments(starts, features.n)
         k = len(LABELS)
-        wanted = np.eye(k)[gold]
-        inner = np.ones(features.n, dtype=bool)
-        inner[starts] = False
-        at = np.flatnonzero(inner)
-        pairs = np.bincount(gold[at - 1] * k + gold[at], minlength=k * k).reshape(k, k).astype(float)
-        first = np.bincount(gold[starts], minlength=k).astype(float)
+        allowed = np.eye(k)[np.maximum(gold, 0)]
+        allowed[gold == UNKNOWN] = 1.0
         squares = [np.zeros_like(x) for x in (self.weights, self.transition, self.start)]
         means = [np.zeros_like(x) for x in squares]
         for epoch in range(1, EPOCHS + 1):
             potential, transition, start = self._potentials(features)
-            forward, backward, marginal, _ = segments.pass_over(potential, transition, start)
+            # What the labels allow against all there is: tokens without a label take what their chain makes of them.
+            given, free = np.maximum(potential, 1e-26) * allowed, np.maximum(potential, 1e-26)
+            wanted, expected = (segments.pass_over(x, transition, start) for x in (given, free))
             steps = (
-                features.gradient(wanted - marginal) - SHRINK * self.weights,
-                pairs - segments.pair_expectation(potential, transition, forward, backward),
-                first - marginal[starts].sum(axis=0),
+                features.gradient(wanted[2] - expected[2]) - SHRINK * self.weights,
+                segments.pair_expectation(given, transition, *wanted[:2]) - segments.pair_expectation(free, transition, *expected[:2]),
+                wanted[2][starts].sum(axis=0) - expected[2][starts].sum(axis=0),
             )
             for x, g, m, v in zip((self.weights, self.transition, self.start), steps, means, squares):
                 m += 0.1 * (g - m)
                 v += 0.02 * (g * g - v)
                 x += RATE * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.98**epoch)) + 1e-3)
+        links = links[(labelled[links] != UNKNOWN).all(axis=1)]
         if len(links):
-            both = np.bincount(classes[links[:, 0]] * k + classes[links[:, 1]], minlength=k * k).reshape(k, k) + 1.0
-            both = both + both.T
-            alone = both.sum(axis=1) / both.sum()
-            # The square root counts a link as half a witness: neighbouring evidence has been used already.
-            self.skip = np.sqrt(both / both.sum() / np.outer(alone, alone))
+            # How much oftener two linked words have two kinds than the chains, each for itself, expect.
+            potential, transition, start = self._potentials(whole)
+            found = Segments(whole_starts, whole.n).pass_over(np.maximum(potential, 1e-26), transition, start)[2]
+            kinds = sorted({KIND.get(y, "") for y in range(k)})
+            of = np.eye(len(kinds))[[kinds.index(KIND.get(y, "")) for y in range(k)]]
+            pairs = lambda m: (both := of.T @ (m[links[:, 0]].T @ m[links[:, 1]]) @ of) + both.T
+            self.skip = of @ ((pairs(np.eye(k)[np.maximum(labelled, 0)]) + 1.0) / (pairs(found) + 1.0)) @ of.T
 
     def label(self, docs: list[Tokens]) -> list[np.ndarray]:
         features = Features(docs, self.lexicon)
@@ -603,32 +674,36 @@ class Model:
 
 
 def learn_lexicon(documents: DataFrame) -> Lexicon:
-    """The lexicon of all texts in full length, equal ones counted once; only parts seen often enough reach the driver."""
-    keyed = documents.where("doc_id is not null and length(text) > 0").select(F.sha2("text", 256).alias("_text"), "text")
-    texts = spread(drop_repeats(keyed, ["_text"]).select("text"))
-    scale = max(1.0, keyed.select("_text").distinct().count() / LOOKALIKE_OF)
+    """The lexicon of all texts in full length, equal ones counted once; only words seen often enough reach the driver."""
+    keyed = spread(documents.where("doc_id is not null and length(text) > 0").select(F.xxhash64("text").alias("_a"), F.hash("text").alias("_b"), F.length("text").alias("_n"), "text"))
+    texts = drop_repeats(keyed, ["_a", "_b", "_n"]).select("text")
+    scale = max(1.0, keyed.select("_a", "_b", "_n").distinct().count() / LOOKALIKE_OF)
     lexicon = Lexicon()
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            counts = Counter(h for t in pdf["text"] for h in Lexicon.heads(t))
-            yield pd.DataFrame([(*h, n) for h, n in counts.items()], columns=["kind", "part", "n"])
+        counts = Counter(h for pdf in batches for t in pdf["text"] for h in Lexicon.heads(t))
+        yield pd.DataFrame(list(counts.items()), columns=["part", "n"])
 
-    parts = texts.mapInPandas(heads, "kind string, part string, n long").groupBy("kind", "part").agg(F.sum("n").alias("n"))
+    parts = texts.mapInPandas(heads, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
     lexicon.learn([tuple(r) for r in parts.where(F.col("n") > scale).collect()], scale)
     known = documents.sparkSession.sparkContext.broadcast(lexicon)
 
     def uses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, named, called = Counter(), Counter(), Counter()
         for pdf in batches:
-            seen, named = Counter(), Counter()
             for t in pdf["text"]:
-                for w, names in known.value.uses(t).items():
+                for w, (n, c) in known.value.uses(t).items():
                     seen[w] += 1
-                    named[w] += names
-            yield pd.DataFrame([(w, n, named[w]) for w, n in seen.items()], columns=["word", "n", "named"])
-
-    words = texts.mapInPandas(uses, "word string, n long, named long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("named").alias("named"))
-    lexicon.learn_things([tuple(r) for r in words.where(F.col("n") >= LOOKALIKE * scale).collect()], scale)
+                    named[w] += n
+                    called[w] += c
+            if len(seen) > 200_000:
+                yield pd.DataFrame([(w, n, named[w], called[w]) for w, n in seen.items()], columns=["word", "n", "named", "called"])
+                seen, named, called = Counter(), Counter(), Counter()
+        yield pd.DataFrame([(w, n, named[w], called[w]) for w, n in seen.items()], columns=["word", "n", "named", "called"])
+
+    words = texts.mapInPandas(uses, "word string, n long, named long, called long").groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "named", "called")))
+    often = (F.col("called") >= Lexicon.seen_from(scale)) & (F.col("named") >= NAMED_SHARE * F.col("n")) | (F.col("n") >= LOOKALIKE * scale)
+    lexicon.learn_words([tuple(r) for r in words.where(often).collect()], scale)
     return lexicon
 
 
@@ -659,14 +734,6 @@ def _name_start(d: Tokens, low: list[str], j: int) -> int:
     return j
 
 
-def _address_start(d: Tokens, low: list[str], j: int, k: int) -> int:
-    """Where the address labelled in ``j`` to ``k`` begins, number or street first; -1 if no number of it is a house number."""
-    for x in range(j, min(len(d), k + 1)):
-        if d.kind[x] == "number" and (street := _street_near(d, low, x)):
-            return _address_tokens(d, low, x, street)[0]
-    return -1
-
-
 def spans_of(d: Tokens, labels: np.ndarray) -> list[tuple[str, int, int]]:
     """(kind, first character, end) of the labelled items; an item whose form can't be of its kind is dropped."""
     spans: list[tuple[str, int, int]] = []
@@ -688,14 +755,23 @@ def spans_of(d: Tokens, labels: np.ndarray) -> list[tuple[str, int, int]]:
         kind, token = KIND[y], d.kind[j]
         digits = sum(c.isdigit() for c in d.text[j])
         first = j
+        if kind == "address":
+            while k + 1 < n and labels[k] == OTHER and labels[k + 1] == ADDRESS and not d.line[k] and not d.line[k + 1]:
+                k += 2  # what stands inside an address belongs to it
+                while k < n and labels[k] == ADDRESS:
+                    k += 1
+            if not any(d.kind[x] in ("number", "code") for x in range(j, k)):  # nor is one without the number beside it
+                if k < n and d.kind[k] == "number" and not d.line[k]:
+                    k += 1
+                elif j > done and d.kind[j - 1] == "number" and not d.line[j]:
+                    first = j - 1
         if kind == "name":
             first = _name_start(d, low, j)
             valid = any(d.kind[x] == "word" and d.text[x][:1].isupper() and len(d.text[x]) > 2 for x in range(first, k))
         elif kind == "email":
             valid = token == "email"
         elif kind == "address":
-            first = _address_start(d, low, j, k)
-            valid = first >= 0
+            valid = any(d.kind[x] in ("number", "code") for x in range(first, k)) and any(d.kind[x] == "word" for x in range(first, k))
         else:
             valid = token in ("number", "code") and 6 <= digits <= 16
         first = max(first, done)
