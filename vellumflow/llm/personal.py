@@ -18,7 +18,7 @@ from vellumflow.llm.names import FORMAL, GIVEN, PARTICLES, TITLES, fold, one_sli
 from vellumflow.plans.tables import drop_repeats, spread
 
 #: Documents the model is fitted on, those whose hashed id is least; everything else covers all documents.
-SAMPLE = 4_000
+SAMPLE = 3_600
 #: Of the sample's chains without personal information every so manieth is used: they are most of all, and much alike.
 PLAIN_EVERY = 8
 #: Characters of a sample document that are labelled.
@@ -26,6 +26,8 @@ SAMPLE_CHARS = 6_000
 EPOCHS, RATE, SHRINK = 25, 0.25, 0.02
 #: Every so manieth surname is withheld from the features of the sample.
 WITHHELD = 2
+#: Texts whose features are made at a time.
+FITTED_AT_ONCE = 250
 BUCKETS = 1 << 17
 #: Of LOOKALIKE_OF different texts, those that make a capitalised word a frequent one; and the share of a surname's texts in
 #: which it stands after a title, first name or initial.
@@ -381,9 +383,24 @@ class Features:
         """The features of some tokens only."""
         part = object.__new__(Features)
         part.n, part.masks = int(chosen.sum()), self.masks[chosen]
-        part.tables = [(place[chosen], buckets) for place, buckets in self.tables]
+        part.tables = []
+        for place, buckets in self.tables:
+            used, own = np.unique(place[chosen], return_inverse=True)
+            part.tables.append((own, buckets[used]))
         return part
 
+    @classmethod
+    def joined(cls, parts: list[Features]) -> Features:
+        """The features of several sets of texts, one after the other."""
+        whole = object.__new__(cls)
+        whole.n, whole.masks, whole.tables = sum(p.n for p in parts), np.concatenate([p.masks for p in parts]), []
+        for t in range(len(parts[0].tables)):
+            before = np.cumsum([0, *(len(p.tables[t][1]) for p in parts)])
+            buckets, same = np.unique(np.concatenate([p.tables[t][1] for p in parts]), axis=0, return_inverse=True)
+            places = np.concatenate([p.tables[t][0] + o for p, o in zip(parts, before)])
+            whole.tables.append((same.ravel()[places], buckets))
+        return whole
+
     def scores(self, weights: np.ndarray) -> np.ndarray:
         total = self.masks.astype(np.float64)
         for place, buckets in self.tables:
@@ -610,6 +627,7 @@ class Model:
         self.weights = np.zeros((BUCKETS, k))
         self.transition, self.start = np.zeros((k, k)), np.zeros(k)
         self.skip = np.ones((k, k))
+        self._partial = lexicon.without(WITHHELD)
 
     def _potentials(self, features: Features) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         scores = features.scores(self.weights)
@@ -618,21 +636,22 @@ class Model:
 
     def fit(self, texts: list[str]) -> None:
         """Gradient ascent on the likelihood of what the labels allow; the skip potentials are then fitted to linked pairs."""
-        docs = [d for t in texts if (d := Tokens(t[:SAMPLE_CHARS])) and len(d)]
-        if not docs:
+        parts: list[Features] = []
+        golds, firsts, linked, n = [], [], [], 0
+        for at in range(0, len(texts), FITTED_AT_ONCE):
+            docs = [d for t in texts[at : at + FITTED_AT_ONCE] if (d := Tokens(t[:SAMPLE_CHARS])) and len(d)]
+            if docs:
+                features, gold, starts, links = self._sample_part(docs)
+                parts.append(features)
+                golds.append(gold)
+                firsts.append(starts + n)
+                linked.append(links + n)
+                n += features.n
+        if not parts:
             return
-        # The labels know every surname, the features not all: the field learns what stands around names it doesn't know.
-        features = Features(docs, self.lexicon.without(WITHHELD))
-        known = lru_cache(None)(lambda w, k: word_class(w, k, self.lexicon))
-        gold = np.concatenate([weak_labels(d, [known(w, k) for w, k in zip(d.text, d.kind)], self.lexicon) for d in docs])
-        links = skip_links(docs, features.classes)
-        starts = chain_starts(docs)
-        chain = np.cumsum(np.bincount(starts, minlength=features.n)) - 1
-        holds = np.bincount(chain, weights=gold != OTHER) > 0
-        holds[::PLAIN_EVERY] = True
-        whole, whole_starts, labelled, chosen = features, starts, gold, holds[chain]
-        starts = (np.cumsum(chosen) - 1)[starts[holds]]
-        features, gold = features.subset(chosen), gold[chosen]
+        features = Features.joined(parts)
+        gold, starts, links = np.concatenate(golds), np.concatenate(firsts), np.concatenate(linked)
+        del parts, docs
         segments = Segments(starts, features.n)
         k = len(LABELS)
         allowed = np.eye(k)[np.maximum(gold, 0)]
@@ -642,26 +661,42 @@ class Model:
         for epoch in range(1, EPOCHS + 1):
             potential, transition, start = self._potentials(features)
             # What the labels allow against all there is: tokens without a label take what their chain makes of them.
-            given, free = np.maximum(potential, 1e-26) * allowed, np.maximum(potential, 1e-26)
-            wanted, expected = (segments.pass_over(x, transition, start) for x in (given, free))
-            steps = (
-                features.gradient(wanted[2] - expected[2]) - SHRINK * self.weights,
-                segments.pair_expectation(given, transition, *wanted[:2]) - segments.pair_expectation(free, transition, *expected[:2]),
-                wanted[2][starts].sum(axis=0) - expected[2][starts].sum(axis=0),
-            )
+            np.maximum(potential, 1e-26, out=potential)
+            by_token, pairs, first = 0.0, 0.0, 0.0
+            for sign, x in ((1, potential * allowed), (-1, potential)):
+                forward, backward, marginal, _ = segments.pass_over(x, transition, start)
+                by_token += sign * marginal
+                pairs += sign * segments.pair_expectation(x, transition, forward, backward)
+                first += sign * marginal[starts].sum(axis=0)
+            del forward, backward, marginal, potential
+            steps = (features.gradient(by_token) - SHRINK * self.weights, pairs, first)
             for x, g, m, v in zip((self.weights, self.transition, self.start), steps, means, squares):
                 m += 0.1 * (g - m)
                 v += 0.02 * (g * g - v)
                 x += RATE * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.98**epoch)) + 1e-3)
-        links = links[(labelled[links] != UNKNOWN).all(axis=1)]
+        links = links[(gold[links] != UNKNOWN).all(axis=1)]
         if len(links):
             # How much oftener two linked words have two kinds than the chains, each for itself, expect.
-            potential, transition, start = self._potentials(whole)
-            found = Segments(whole_starts, whole.n).pass_over(np.maximum(potential, 1e-26), transition, start)[2]
+            potential, transition, start = self._potentials(features)
+            found = segments.pass_over(np.maximum(potential, 1e-26), transition, start)[2]
             kinds = sorted({KIND.get(y, "") for y in range(k)})
             of = np.eye(len(kinds))[[kinds.index(KIND.get(y, "")) for y in range(k)]]
             pairs = lambda m: (both := of.T @ (m[links[:, 0]].T @ m[links[:, 1]]) @ of) + both.T
-            self.skip = of @ ((pairs(np.eye(k)[np.maximum(labelled, 0)]) + 1.0) / (pairs(found) + 1.0)) @ of.T
+            self.skip = of @ ((pairs(np.eye(k)[np.maximum(gold, 0)]) + 1.0) / (pairs(found) + 1.0)) @ of.T
+
+    def _sample_part(self, docs: list[Tokens]) -> tuple[Features, np.ndarray, np.ndarray, np.ndarray]:
+        """Features, labels, chain starts and links of the chains of some texts that are fitted."""
+        # The labels know every surname, the features not all: the field learns what stands around names it doesn't know.
+        features = Features(docs, self._partial)
+        known = lru_cache(None)(lambda w, k: word_class(w, k, self.lexicon))
+        gold = np.concatenate([weak_labels(d, [known(w, k) for w, k in zip(d.text, d.kind)], self.lexicon) for d in docs])
+        links, starts = skip_links(docs, features.classes), chain_starts(docs)
+        chain = np.cumsum(np.bincount(starts, minlength=features.n)) - 1
+        holds = np.bincount(chain, weights=gold != OTHER) > 0
+        holds[::PLAIN_EVERY] = True
+        chosen = holds[chain]
+        place = np.cumsum(chosen) - 1
+        return features.subset(chosen), gold[chosen], place[starts[holds]], place[links[chosen[links].all(axis=1)]]
 
     def label(self, docs: list[Tokens]) -> list[np.ndarray]:
         features = Features(docs, self.lexicon)
