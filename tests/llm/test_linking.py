@@ -155,3 +155,31 @@ def test_half_a_double_surname_in_two_writings(spark):
     df = spark.createDataFrame([(1, i, s, 1, "x", "x") for i, s in enumerate(strings)], SCHEMA)
     cluster = {r.name_id: r.cluster for r in link_names(df).collect()}
     assert cluster[0] == cluster[1] == cluster[2] != cluster[3] == cluster[4]
+
+
+def test_blocking_within_a_family_loses_no_link():
+    """Star clustering with nodes looked up by surname and letters of the first name, against all nodes."""
+    rnd = random.Random(3)
+    first = ["Katherine", "Catherine", "Atherine", "Kate", "K.", "Karl", "Bill", "William", "Wiliam", "B.", "", "Jürgen", "Juergen", "Yurgen", "J.", "Rfederick", "Frederick", "Fred"]
+    last = ["Oskoyd", "Osskoyd", "Oskoyt", "Oskoyd-Pellmere", "Pellmere"]
+    for _ in range(30):
+        strings = {f"{rnd.choice(first)} {rnd.choice(['', '', 'Q. ', 'R. '])}{rnd.choice(last)}{rnd.choice(['', '', ', Jr.', ', Sr.'])}".strip() for _ in range(40)}
+        rows = sorted({(linking.node_key(n), rnd.randint(1, 9)) for s in strings if (n := parse(s)).kind == "person" and n.surname})
+        rows = list({k: (k, w) for k, w in rows}.values())
+        blocked = linking._family(rows)
+        whole, bridged = linking.star_clusters, linking.join_bridged
+        try:
+            linking.star_clusters = lambda nodes, similarity, rank, absorb=None, near=None, keys=None: whole(nodes, similarity, rank, absorb)
+            linking.join_bridged = lambda at, similarity, agree, near=None, keys=None: bridged(at, similarity, agree)
+            assert linking._family(rows) == blocked
+        finally:
+            linking.star_clusters, linking.join_bridged = whole, bridged
+
+
+def test_blocks_a_slip_apart_share_a_key():
+    rnd = random.Random(6)
+    words = {"p " + "".join(rnd.choice("abcrnmeo-") for _ in range(rnd.randint(3, 11))).strip("-") for _ in range(500)}
+    words |= {w[:i] + rnd.choice(["", "x", w[i], w[i] + "x"]) + w[i + 1 :] for w in list(words) for i in [rnd.randrange(2, len(w))] if len(w) > 4}
+    keys = {w: linking._slip_keys(w) for w in words}
+    alike_ = [(a, b) for a in words for b in words if a < b and linking._blocks_alike(a[2:], b[2:])]
+    assert len(alike_) > 100 and all(keys[a] & keys[b] for a, b in alike_)

@@ -148,10 +148,10 @@ def organisation_similarity(a: str, b: str) -> float:
     return sum(best) / len(best) if min(best) >= PART else 0.0
 
 
-def star_clusters(nodes: list[tuple[str, int]], similarity: Callable[[int, int], float], rank: Callable[[int], tuple], absorb: Callable[[int, int], None] | None = None, near: Callable[[int], list] | None = None, key: Callable[[int], object] = lambda i: None) -> list[int]:
+def star_clusters(nodes: list[tuple[str, int]], similarity: Callable[[int, int], float], rank: Callable[[int], tuple], absorb: Callable[[int, int], None] | None = None, near: Callable[[int], list] | None = None, keys: Callable[[int], list] = lambda i: [None]) -> list[int]:
     """Star clustering: places of the centres, one for each node.
 
-    ``near`` gives the keys of all nodes that can be similar to a node at all; centres of other keys are not compared with it.
+    ``near`` gives the keys that all nodes similar to a node have one of; centres without such a key are not compared with it.
 
     Nodes are taken from the most complete to the least. A node similar to no centre becomes one; otherwise it joins the
     most similar. A node equally similar to several centres could be any of them and stays on its own without
@@ -161,9 +161,11 @@ def star_clusters(nodes: list[tuple[str, int]], similarity: Callable[[int, int],
     centres: dict[object, list[tuple[int, int]]] = {}
     at = list(range(len(nodes)))
     for k, i in enumerate(order):
-        found = sorted(((s, -m, c) for x in (near(i) if near else [None]) for m, c in centres.get(x, ()) if (s := similarity(c, i)) >= VERIFIED), reverse=True)
+        tried = {mc for x in (near(i) if near else [None]) for mc in centres.get(x, ())}
+        found = sorted(((s, -m, c) for m, c in tried if (s := similarity(c, i)) >= VERIFIED), reverse=True)
         if not found:
-            centres.setdefault(key(i), []).append((k, i))
+            for x in keys(i):
+                centres.setdefault(x, []).append((k, i))
         elif len(found) == 1 or found[0][0] > found[1][0] + 1e-9:
             at[i] = found[0][2]
             if absorb:
@@ -171,14 +173,15 @@ def star_clusters(nodes: list[tuple[str, int]], similarity: Callable[[int, int],
     return at
 
 
-def join_bridged(at: list[int], similarity: Callable[[int, int], float], agree: Callable[[int, int], bool], near: Callable[[int], list] | None = None, key: Callable[[int], object] = lambda i: None) -> list[int]:
+def join_bridged(at: list[int], similarity: Callable[[int, int], float], agree: Callable[[int, int], bool], near: Callable[[int], list] | None = None, keys: Callable[[int], list] = lambda i: [None]) -> list[int]:
     """``at`` with clusters joined whose centres are spelt too differently, but one of which fits a member of the other.
 
     A centre that fits members of several clusters joins none of them; ``agree`` tells whether two centres can be one at all.
     """
     members: dict[object, list[int]] = {}
     for i in range(len(at)):
-        members.setdefault(key(i), []).append(i)
+        for x in keys(i):
+            members.setdefault(x, []).append(i)
     size = Counter(at)
     top = {c: c for c in size}
 
@@ -221,14 +224,18 @@ def _family(rows: list[tuple[str, int]]) -> list[str]:
     own = [dict(p) for p in parts]
     surnames = sorted({p["surname"] for p in parts})
     near = {a: [b for b in surnames if min(_surname(b, a)) >= PART] for a in surnames}
-    by_surname = (lambda i: near[own[i]["surname"]], lambda i: own[i]["surname"])
+    # First names one can stand for another begin alike: of their first three letters one is the same, as few slips as they bear.
+    letters = [sorted(p["initials"] | {x for f in p["formal"] for x in f[:3]}) or [""] for p in own]
+    every = sorted({x for ls in letters for x in ls})
+    sought = lambda i: [(s, x) for s in near[own[i]["surname"]] for x in ([*letters[i], ""] if letters[i] != [""] else every)]
+    by_name = (sought, lambda i: [(own[i]["surname"], x) for x in letters[i]])
 
     def agree(b: int, c: int) -> bool:
         """Only the surname keeps the two apart, and their first names are not one slip apart as well."""
         return _first_name(parts[b], parts[c]) >= INITIAL and person_similarity(parts[b], parts[c] | {"surname": parts[b]["surname"]}) >= VERIFIED
 
-    at = star_clusters(rows, lambda c, i: person_similarity(parts[c], own[i]), rank, absorb, *by_surname)
-    return [rows[c][0] for c in join_bridged(at, lambda m, c: person_similarity(own[m], own[c]), agree, *by_surname)]
+    at = star_clusters(rows, lambda c, i: person_similarity(parts[c], own[i]), rank, absorb, *by_name)
+    return [rows[c][0] for c in join_bridged(at, lambda m, c: person_similarity(own[m], own[c]), agree, *by_name)]
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -270,15 +277,16 @@ def _verified_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     out: list[tuple] = []
     for (run, slice_), group in _grouped(batches, ["run_id", "slice"]):
         if len(group) > 1:
-            buckets: dict[tuple[int, int], list[int]] = {}
+            hashes = np.array([band_hashes(r.block) for r in group])
+            # Of the blocks that meet in a band only those are compared that become one by dropping a letter of each.
+            slips: dict[tuple[str, str], list[int]] = {}
             for i, r in enumerate(group):
-                for band, h in enumerate(band_hashes(r.block).tolist()):
-                    if r.slices == 1 or h % r.slices == slice_:
-                        buckets.setdefault((band, h), []).append(i)
-            tried: set[tuple[int, int]] = set()
-            for members in buckets.values():
-                if len(members) > 1:
-                    tried.update((i, j) for n, i in enumerate(members) for j in members[n + 1 :])
+                if r.block[0] != "a":
+                    for k in _slip_keys(r.block):
+                        slips.setdefault(k, []).append(i)
+            tried = {(i, j) for same in slips.values() if len(same) > 1 for n, i in enumerate(same) for j in same[n + 1 :]}
+            if tried and group[0].slices > 1:
+                hashes = np.where(hashes % group[0].slices == slice_, hashes, -np.arange(1, len(group) + 1)[:, None])
             top = list(range(len(group)))
 
             def root(i: int) -> int:
@@ -288,7 +296,7 @@ def _verified_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
             for i, j in tried:
                 a, b = group[i], group[j]
-                if a.block[0] == b.block[0] != "a" and (x := root(i)) != (y := root(j)) and _blocks_alike(a.block[2:], b.block[2:]):
+                if (x := root(i)) != (y := root(j)) and (hashes[i] == hashes[j]).any() and _blocks_alike(a.block[2:], b.block[2:]):
                     low, high = sorted((x, y), key=lambda i: (group[i].weight, group[i].block))
                     top[low] = high
             out += [(run, r.block, r.weight, group[x].block, group[x].weight) for i, r in enumerate(group) if (x := root(i)) != i]
@@ -299,6 +307,18 @@ def _verified_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["run_id", "block", "weight", "other", "other_weight"])
 
 
+def _slip_keys(block: str) -> set[tuple[str, str]]:
+    """What two blocks a slip apart have in common: the block, or the first half of a double one, less one letter or spelt loosely."""
+    kind, text = block[0], block[2:]
+    halves = text.split("-")
+    whole = "".join(halves)
+    keys = {(kind, whole[:i] + whole[i + 1 :]) for i in range(len(whole))} | {(kind, whole), (kind + "~", loose(whole))}
+    if len(halves) == 2:
+        first = halves[0]
+        keys |= {(kind + "-", first[:i] + first[i + 1 :]) for i in range(len(first))} | {(kind + "-", first), (kind + "-~", loose(first))}
+    return keys
+
+
 def _blocks_alike(a: str, b: str) -> bool:
     if alike(a, b):
         return True

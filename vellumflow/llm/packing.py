@@ -17,7 +17,7 @@ from vellumflow.plans.tables import cut_lineage, drop_repeats, spread
 #: Tokens a container holds.
 CAPACITY = 2048
 #: Ways every size is split for numbering its items, so that a size a third of all items have is numbered by many tasks.
-SALTS = 64
+SALTS, MOST_SALTS = 64, 512
 
 
 class _Bins:
@@ -132,7 +132,7 @@ def _slots(plan: Sequence[tuple[tuple[tuple[int, int], ...], int]]) -> pd.DataFr
     return pd.DataFrame(rows, columns=["size", "rank", "each", "container"]).sort_values(["size", "rank"], ignore_index=True)
 
 
-def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, salts: int = SALTS) -> DataFrame:
+def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, salts: int | None = None) -> DataFrame:
     """Containers of all items: (key, piece_no, piece_start, piece_size, container_id).
 
     One row for each item; an item above the capacity, and only that, is cut into pieces of the capacity and a last one of
@@ -144,6 +144,8 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY, salts:
     as the counts are.
     """
     spark = items.sparkSession
+    # As many as there are partitions, so that a size a third of all items have is numbered by all of them.
+    salts = salts or min(MOST_SALTS, max(SALTS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     n = F.coalesce(F.col(size).cast("long"), F.lit(0))
     sized = items.select(F.col(key).alias("_key"), F.greatest(n, F.lit(0)).alias("_n"))
     last = F.greatest(F.ceil(F.col("_n") / capacity).cast("long"), F.lit(1)) - 1

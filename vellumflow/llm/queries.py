@@ -138,6 +138,13 @@ ORACLES = {
     + f""", n AS (SELECT name_id, any_value(name_string) AS s, any_value(mentions) AS k FROM name_records WHERE name_id IS NOT NULL GROUP BY name_id),
 r AS (SELECT 'people' AS field_name, trim(regexp_replace(lower(nfc_normalize(s)), '{_SPACE}', ' ', 'g')) AS term, CAST(sum(coalesce(k, 0)) AS BIGINT) AS recorded_mentions FROM n GROUP BY ALL)
 SELECT m.*, r.recorded_mentions FROM m LEFT JOIN r USING (field_name, term)
+""",
+    "p2_ngrams": _TERMS
+    + """, w AS (SELECT evidence_id, field_name, string_split(term, ' ') AS l FROM t WHERE term <> ''),
+s AS (SELECT evidence_id, field_name, l, unnest(range(1, len(l) + 1)) AS i FROM w),
+g AS (SELECT evidence_id, field_name, l, i, unnest(range(1, len(l) - i + 2)) AS k FROM s),
+c AS (SELECT field_name, CAST(k AS INTEGER) AS n_words, array_to_string(l[i:i + k - 1], ' ') AS ngram, count(*) AS occurrences, count(DISTINCT evidence_id) AS n_records FROM g GROUP BY ALL)
+SELECT *, CASE WHEN n_records = 1 THEN 'rare' WHEN n_records * 100 > (SELECT count(*) FROM e) THEN 'common' ELSE 'useful' END AS mark FROM c
 """,
     "p4_found": """
 WITH c AS (SELECT DISTINCT candidate_sha256, document_sha256, start_page, end_page, size_bytes FROM upload_candidates),
