@@ -373,3 +373,16 @@ def test_prompts():
     asked = extract.synthesis_prompt("q", 5, 3, [{"document": "a.pdf"}])
     assert asked["total_documents"] == 5 and asked["successful_documents"] == 3 and asked["responsive_documents"] == [{"document": "a.pdf"}]
     assert extract.document_prompt("q", "f", ["a"]).count("\n") == 1 and extract.document_prompt("q", "f", ["a", "b"]).endswith("Part 2 of 2: b")
+
+
+def test_listing_in_parallel(spark, tmp_path):
+    """Level by level, the same files as one walk, odd names, links and marked folders included."""
+    for f in ("a.pdf", "b/c.PDF", "b/d/e.pdf", "b/d/no.txt", "m/.mark", "m/x.pdf", "m/n/y.pdf", ".h/_z.pdf", "ü b/1.pdf"):
+        (tmp_path / f).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f).write_bytes(b"x")
+    (tmp_path / "link").symlink_to(tmp_path / "b")
+    (tmp_path / "l.pdf").symlink_to(tmp_path / "a.pdf")
+    (tmp_path / "empty").mkdir()
+    got = {tuple(r) for r in archive.listing(spark, tmp_path, [".mark"], 3).collect()}
+    assert got == {(str(p), str(p.relative_to(tmp_path)), p.name) for p in archive.list_pdf_paths(tmp_path, [".mark"])} and len(got) == 6
+    assert archive.listing(spark, tmp_path / "empty").collect() == []

@@ -5,12 +5,15 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellumflow.plans.tables import cut_lineage
+
 CHUNK = 1 << 20
 LISTING = "absolute_path string, relative_path string, name string"
 SCANNED = "absolute_path string, relative_path string, name string, sha256 string, md5 string, size bigint, page_count int, error string"
@@ -31,11 +34,41 @@ def list_pdf_paths(root: str | Path, markers: Sequence[str] = ()) -> list[Path]:
     return sorted(found)
 
 
-def listing(spark: SparkSession, root: str | Path, markers: Sequence[str] = (), partitions: int = 64) -> DataFrame:
-    """The list as a DataFrame, spread over tasks; the files themselves are read there."""
-    base = Path(root)
-    rows = [(str(p.absolute()), str(p.relative_to(base)), p.name) for p in list_pdf_paths(root, markers)]
-    return spark.createDataFrame(rows, LISTING).repartition(max(1, min(partitions, len(rows))))
+_ENTRY = "kind string, absolute_path string, relative_path string, name string"
+
+
+def listing(spark: SparkSession, root: str | Path, markers: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    """The same files as a DataFrame (LISTING), unordered. The tree is read level by level, the folders of a level in parallel:
+    the driver holds neither folders nor files."""
+    marks, partitions = set(markers), partitions or 2 * spark.sparkContext.defaultParallelism
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for folder, relative in zip(batch["absolute_path"], batch["relative_path"]):
+                try:
+                    entries = list(os.scandir(folder))
+                except OSError:  # a folder that can't be read has nothing to show, as for a walk
+                    continue
+                if marks & {e.name for e in entries if not e.is_dir()}:
+                    continue
+                for e in entries:
+                    inner = f"{relative}/{e.name}" if relative else e.name
+                    if e.is_dir(follow_symlinks=False):
+                        rows.append(("folder", e.path, inner, e.name))
+                    elif not e.is_dir() and e.name.lower().endswith(".pdf"):
+                        rows.append(("file", e.path, inner, e.name))
+            yield pd.DataFrame(rows, columns=["kind", "absolute_path", "relative_path", "name"])
+
+    level = spark.createDataFrame([(str(Path(root).absolute()), "")], "absolute_path string, relative_path string")
+    found = []
+    while True:
+        entries = cut_lineage(level.mapInPandas(read, _ENTRY))
+        found.append(entries.where("kind = 'file'"))
+        folders = entries.where("kind = 'folder'")
+        if not folders.limit(1).count():
+            return reduce(DataFrame.unionByName, found).select("absolute_path", "relative_path", "name").repartition(partitions)
+        level = folders.select("absolute_path", "relative_path").repartition(partitions)
 
 
 def file_digests(path: str | Path) -> tuple[str, str, int]:
