@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
 # Suffixes that are no surnames.
 SUFFIXES = ["jr", "sr", "ii", "iii", "iv", "v"]
@@ -70,6 +72,25 @@ def surname_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([1.0 if x == y else 0.0 if len(x) < 4 or len(y) < 4 else SequenceMatcher(a=x, b=y, autojunk=True).ratio() for x, y in zip(a, b)], dtype=float)
 
 
+@lru_cache(100_000)
+def _letters(word: str) -> Counter:
+    return Counter(word)
+
+
+@F.pandas_udf(BooleanType())
+def surnames_similar(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Whether :func:`surname_similarity` reaches SIMILAR; most pairs are settled by the letters they have in common at all."""
+
+    def similar(x: str, y: str) -> bool:
+        if x == y:
+            return True
+        if min(len(x), len(y)) < 4 or 2 * (_letters(x) & _letters(y)).total() < SIMILAR * (len(x) + len(y)):
+            return False
+        return SequenceMatcher(a=x, b=y, autojunk=True).ratio() >= SIMILAR
+
+    return pd.Series([similar(x, y) for x, y in zip(a, b)], dtype=bool)
+
+
 def could_be_similar(a: Column, b: Column) -> Column:
     """An upper bound of the ratio reaches SIMILAR: cheap enough to keep most pairs from the similarity itself."""
     la, lb = F.length(a), F.length(b)

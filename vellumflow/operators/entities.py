@@ -62,26 +62,33 @@ def _similar_keys(surname: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"found": [list(f) for f, _ in keys], "sought": [list(s) for _, s in keys]})
 
 
+def similar_surnames(rows: DataFrame) -> DataFrame:
+    """(surname, other): different surnames of ``rows`` that are similar, each way round, as the measure has a direction.
+
+    Each surname is taken once, whatever groups it stands in; those that share a key of :func:`similar_keys` are compared.
+    """
+    # So many partitions that the keys, of which a surname has dozens, are made on all cores.
+    many = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = rows.select("surname").distinct().repartition(many, "surname").withColumn("_k", _similar_keys("surname"))
+    place = lambda keys: F.explode(F.transform(keys, lambda k: F.xxhash64(k))).alias("_key")
+    found = keyed.select(F.col("surname").alias("other"), place("_k.found"))
+    met = keyed.select("surname", place("_k.sought")).join(found, "_key")
+    met = met.where((F.col("surname") != F.col("other")) & people.could_be_similar(F.col("surname"), F.col("other"))).select("surname", "other").distinct()
+    return met.repartition(many, "surname", "other").where(people.surnames_similar("surname", "other"))
+
+
 def class_links(classes: DataFrame, by: str, fuzzy: bool) -> DataFrame:
     """Links between classes with one first initial, from the class with the lesser id to the other, and why they are linked.
 
-    Names without a first initial link to nothing. Without ``fuzzy`` surnames must be equal. With it, different surnames
-    that share a key of :func:`similar_keys`, which all similar ones do, are compared once each way round: the surname of the
-    lower id comes first.
+    Names without a first initial link to nothing. Without ``fuzzy`` surnames must be equal; with it they may be similar,
+    the surname of the lower id coming first.
     """
     own = classes.where("first_initial is not null").select(by, "first_initial", "surname", "least_id", F.struct("surname", "first_token", "first_initial", "middle_initial").alias("a"), F.col("n").alias("n_a"))
     other = own.select(by, "first_initial", F.col("surname").alias("other"), F.col("least_id").alias("other_id"), F.col("a").alias("b"), F.col("n_a").alias("n_b"))
     pairs = own.join(other.withColumnRenamed("other", "surname"), [by, "first_initial", "surname"]).drop("surname")
     if fuzzy:
-        # So many partitions that the keys, of which a surname has dozens, are made on all cores.
-        many = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        keyed = own.select(by, "first_initial", "surname").distinct().repartition(many, by, "first_initial", "surname").withColumn("_k", _similar_keys("surname"))
-        place = lambda keys: F.explode(F.transform(keys, lambda k: F.xxhash64(by, "first_initial", k))).alias("_key")
-        found = keyed.select(F.col(by).alias("_by"), F.col("first_initial").alias("_initial"), F.col("surname").alias("other"), place("_k.found"))
-        near = keyed.select(by, "first_initial", "surname", place("_k.sought")).join(found, "_key").where((F.col(by) == F.col("_by")) & (F.col("first_initial") == F.col("_initial")))
-        near = near.where((F.col("surname") != F.col("other")) & people.could_be_similar(F.col("surname"), F.col("other"))).select(by, "first_initial", "surname", "other").distinct()
-        near = near.where(people.surname_similarity("surname", "other") >= people.SIMILAR)
-        pairs = pairs.unionByName(own.join(near, [by, "first_initial", "surname"]).join(other, [by, "first_initial", "other"]).drop("surname", "other"))
+        near = similar_surnames(own)
+        pairs = pairs.unionByName(own.join(near, "surname").join(other, [by, "first_initial", "other"]).drop("surname", "other"))
     a, b = F.col("a"), F.col("b")
     fits = pairs.where("least_id < other_id").where(people.linked(a, b))
     return fits.select(by, "least_id", "other_id", "n_a", "n_b", people.link_reason(a, b).alias("reason"))
