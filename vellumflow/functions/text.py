@@ -24,7 +24,6 @@ def normalize_whitespace(x: Column | str) -> Column:
 #: Letters whose folded form is not their lower case, by the rules of Unicode: single letters, and those that become several.
 _ODD = {chr(i): chr(i).casefold() for i in range(0x110000) if chr(i).casefold() != chr(i).lower() and not 0x13A0 <= i <= 0x13FF and not 0xAB70 <= i <= 0xABBF}
 _ONE, _MANY = {k: v for k, v in _ODD.items() if len(v) == 1}, {k: v for k, v in _ODD.items() if len(v) > 1}
-_FOLDS = r"[^\x00-\x7F]"
 
 
 def casefold(x: Column | str) -> Column:
@@ -33,7 +32,8 @@ def casefold(x: Column | str) -> Column:
     pairs = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in _MANY.items()))
     whole = F.aggregate(pairs, one(c(x)), lambda acc, p: F.replace(acc, p["k"], p["v"]))
     # The engine's lower case knows a sigma at the end of a word, so single letters are folded once more.
-    return F.when(c(x).rlike("[" + "".join(_MANY) + "]"), one(F.lower(whole))).when(c(x).rlike(_FOLDS), one(F.lower(one(c(x))))).otherwise(F.lower(c(x)))
+    plain = F.octet_length(c(x)) == F.length(c(x))
+    return F.when(plain, F.lower(c(x))).when(c(x).rlike("[" + "".join(_MANY) + "]"), one(F.lower(whole))).otherwise(one(F.lower(one(c(x)))))
 
 
 def normalize_question(x: Column | str) -> Column:
