@@ -22,7 +22,7 @@ def normalize_whitespace(x: Column | str) -> Column:
 
 
 #: Letters whose folded form is not their lower case, by the rules of Unicode: single letters, and those that become several.
-_ODD = {chr(i): chr(i).casefold() for i in range(0x110000) if chr(i).casefold() != chr(i).lower() and not 0x13A0 <= i <= 0x13FF and not 0xAB70 <= i <= 0xABBF}
+_ODD = {chr(i): chr(i).casefold() for i in range(0x20000) if chr(i).casefold() != chr(i).lower() and not 0x13A0 <= i <= 0x13FF and not 0xAB70 <= i <= 0xABBF}
 _ONE, _MANY = {k: v for k, v in _ODD.items() if len(v) == 1}, {k: v for k, v in _ODD.items() if len(v) > 1}
 
 
