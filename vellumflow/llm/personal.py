@@ -75,31 +75,41 @@ class Tokens:
     __slots__ = ("text", "at", "end", "kind", "line", "tab", "french")
 
     def __init__(self, text: str):
-        self.text, self.at, self.end, self.kind, self.line, self.tab = [], [], [], [], [], []
-        last = 0
-        for m in _TOKEN.finditer(text):
-            kind = m.lastgroup
-            self.text.append(m.group())
-            self.at.append(m.start())
-            self.end.append(m.end())
-            self.kind.append(kind)
-            gap = text[last : m.start()]
+        found = list(_TOKEN.finditer(text))
+        self.text = [m.group() for m in found]
+        self.kind = [m.lastgroup for m in found]
+        self.at, self.end = [m.start() for m in found], [m.end() for m in found]
+        self.line, self.tab, last = [], [], 0
+        for at, end in zip(self.at, self.end):
+            if at == last:
+                gap = ""
+            elif at == last + 1:
+                gap = text[last]
+            else:
+                gap = text[last:at]
             self.line.append(1 if not last or "\n" in gap else 0)
             self.tab.append("\t" in gap or "   " in gap)
-            last = m.end()
+            last = end
         self.french = _french(self.text)
 
     def __len__(self) -> int:
         return len(self.text)
 
 
+@lru_cache(200_000)
+def _marker(word: str) -> int:
+    low = word.lower()
+    return (low in _FRENCH) - (low in _ENGLISH)
+
+
 def _french(words: list[str]) -> list[bool]:
     """Whether the passage around each token is French, by the marker words up to WINDOW tokens before and after it."""
-    marks = np.cumsum([0, *((w.lower() in _FRENCH) - (w.lower() in _ENGLISH) for w in words)])
+    marks = np.cumsum([0, *map(_marker, words)])
     at = np.arange(len(words))
     return (marks[np.minimum(at + WINDOW, len(words))] > marks[np.maximum(at - WINDOW, 0)]).tolist()
 
 
+@lru_cache(200_000)
 def _bare(word: str) -> str:
     """A word folded, without possessive, line-end hyphen and O'."""
     w = fold(word.replace("-\n", ""))
@@ -773,6 +783,8 @@ def spans_of(d: Tokens, labels: np.ndarray) -> list[tuple[str, int, int]]:
     """(kind, first character, end) of the labelled items; an item whose form can't be of its kind is dropped."""
     spans: list[tuple[str, int, int]] = []
     j, n, done = 0, len(d), 0
+    if not labels.any():
+        return spans
     low = [fold(w) if k == "word" else "" for w, k in zip(d.text, d.kind)]
     while j < n:
         y = int(labels[j])
